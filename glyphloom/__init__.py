@@ -1,0 +1,26 @@
+"""Snippet extraction, vector search and incremental snippet indexes on Spark."""
+
+from __future__ import annotations
+
+import os
+import shutil
+import tempfile
+
+from pyspark.sql import SparkSession
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application.
+
+    Needed where it is not installed on them: its Arrow functions are imported there.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        home = os.path.dirname(os.path.abspath(__file__))
+        target = os.path.join(tempfile.mkdtemp(prefix="glyphloom-ship-"), "glyphloom")
+        archive = shutil.make_archive(target, "zip", os.path.dirname(home), os.path.basename(home))
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark

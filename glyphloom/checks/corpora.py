@@ -9,11 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread_scan
+
 VOCABULARY = ["the", "and", "ion", "que", "sch", "ent", "eau", "ing", "ver", "ou"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread_scan(rows) if name == "documents" else rows
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,12 +9,18 @@ from pyspark.sql import functions as F
 
 from ..schema import ID_LENGTH
 
-# Fixed values (Java regex): every line boundary of Unicode text, the plain newline
-# forms source-code parsers count, and "holds a character that is not white space".
+# Fixed values (Java regex): every line boundary of Unicode text, the plain newline forms
+# source-code parsers count, and "holds a character that is not white space".
 LINE_BREAKS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 NEWLINES = r"\r\n|[\n\r]"
 _SPACE = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 NOT_BLANK = f"[^{_SPACE}]"
+# "Holds a line boundary other than \\n". Written as what is left when the ranges of ordinary
+# characters are taken away: most characters then fail on the first comparison.
+_OTHER_BREAKS = {
+    LINE_BREAKS: r"[^\x20-\x84\x{86}-\x{2027}\x{202A}-\x{10FFFF}\t\n\x00-\x08\x0E-\x1B\x1F]",
+    NEWLINES: r"\r",
+}
 TRAILING_SPACE = rf"[{_SPACE}]+\z"
 
 
@@ -39,9 +45,16 @@ def decode_text(raw: Column) -> Column:
 
 
 def split_lines(text: Column, breaks: str = LINE_BREAKS) -> Column:
-    """Array of lines; a final line break opens no further line, "" has no lines."""
+    """Array of lines; a final line break opens no further line, "" has no lines.
+
+    Splitting on one character is several times faster than on a regex of all the breaks,
+    which only texts with unusual breaks need.
+    """
+    parts = lambda t: F.when(
+        t.rlike(_OTHER_BREAKS[breaks]), F.split(t, breaks, -1)
+    ).otherwise(F.split(t, "\n", -1))
     return let(
-        F.split(text, breaks, -1),
+        let(text, parts),
         lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p),
     )
 

@@ -66,18 +66,21 @@ _DART_NAME = re.compile(rf"\s({NAME})\s*\Z")
 _DART_STOP = re.compile(r"[;{]")
 _DART_CLOSE = re.compile(r"\)\s*+(?:a?sync\s*+\*?)?\s*+\Z")
 
-_BRACE_OR_OPAQUE = re.compile(
-    r"""[{}]
-    | (?P<triple>'''|\"""|```) (?:\\.|(?!(?P=triple)).)*+ (?:(?P=triple))?
-    | '(?:\\.|[^'\\\n])*+'?
-    | "(?:\\.|[^"\\\n])*+"?
-    | `(?:\\.|[^`\\])*+`?
+# Plain text up to and including the next brace, string or comment.
+_NEXT_TOKEN = re.compile(
+    r"""[^{}'"`/]*+ (?:
+      (?P<brace>[{}])
+    | (?P<triple>'''|\"""|```) (?:[^\\'"`]|\\.|(?!(?P=triple)).)*+ (?:(?P=triple))?
+    | '(?:[^'\\\n]|\\.)*+'?
+    | "(?:[^"\\\n]|\\.)*+"?
+    | `(?:[^`\\]|\\.)*+`?
     | //[^\n]*+
-    | /\*(?:.*?\*/|.*)""",
+    | /\*(?:.*?\*/|.*)
+    | / )""",
     re.VERBOSE | re.DOTALL,
 )
 _NEWLINE = re.compile(r"\r\n|[\n\r]")
-_COVERED = re.compile(r"[^\r\n]|\r(?=\n)")
+_COVERED = re.compile(r"(?:[^\r\n]|\r(?=\n))+")
 
 Hit = tuple[int, int, str | None]  # start of the match, its opening brace, declared name
 Finder = Callable[[str, int, int], Hit | None]
@@ -86,13 +89,18 @@ Finder = Callable[[str, int, int], Hit | None]
 def closing_brace(text: str, opening: int) -> int | None:
     """Index of the brace closing ``text[opening]``, ignoring strings and comments."""
     depth = 0
-    for token in _BRACE_OR_OPAQUE.finditer(text, opening):
-        depth += {"{": 1, "}": -1}.get(token.group(), 0)
-        if depth == 0:
-            return token.start()
+    for token in _NEXT_TOKEN.finditer(text, opening):
+        if token["brace"]:
+            depth += 1 if token["brace"] == "{" else -1
+            if depth == 0:
+                return token.end() - 1
     return None
 
 
+def _spaces(covered: re.Match[str]) -> str:
+    return " " * len(covered.group())
+
+
 def _shape(pattern: str) -> Finder:
     compiled = re.compile(pattern, re.MULTILINE)
 
@@ -189,7 +197,7 @@ def parse_braces(text: str, language: str) -> tuple[list[dict], str]:
         if kind == "class":
             for _, method, m_first, _, m_close in _declared(text, brace + 1, close, member):
                 rows.append(row("method", f"{name}.{method}", m_first, m_close))
-        rest += [text[kept:first], _COVERED.sub(" ", text[first : close + 1])]
+        rest += [text[kept:first], _COVERED.sub(_spaces, text[first : close + 1])]
         kept = close + 1
     return rows, "".join(rest) + text[kept:]
 

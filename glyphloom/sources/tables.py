@@ -29,6 +29,17 @@ def files_from_table(
     )
 
 
+def spread_scan(table: DataFrame) -> DataFrame:
+    """Spread a plain table scan of few partitions over all cores.
+
+    Extraction costs far more than a shuffle of the text, so a small table in one row group
+    should not keep one core busy and the others idle. Tables with enough partitions, that
+    is all large ones, are left as they are.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if 2 * table.rdd.getNumPartitions() <= cores else table
+
+
 def decode_files(files: DataFrame) -> DataFrame:
     """``content`` as text; rows that are binary or could not be read drop out."""
     raw = F.col("content")
