@@ -1,0 +1,246 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+
+from glyphloom.operators import declarations as D
+from glyphloom.operators.extract import (
+    extract_braces,
+    extract_python,
+    extract_snippets,
+    leftovers,
+    order_in_file,
+)
+
+
+def python(text):
+    return [(r["kind"], r["name"], r["start_line"], r["end_line"]) for r in D.parse_python(text)[0]]
+
+
+def braces(text, language="javascript"):
+    return [(r["kind"], r["name"], r["start_line"], r["end_line"]) for r in D.parse_braces(text, language)[0]]
+
+
+def names(text, language="javascript"):
+    return [r[1] for r in braces(text, language)]
+
+
+def test_python_functions_classes_methods():
+    text = (
+        "import os\n\n@one\n@two(\n  3)\nasync def go(a):\n    def inner():\n        pass\n    return inner\n"
+        "class Box(Base):\n    x = 1\n    @property\n    def size(self):\n        return 1\n"
+        "    class In:\n        def deep(self): pass\n    async def run(self): pass\n"
+    )
+    assert python(text) == [
+        ("function", "go", 3, 9),
+        ("class", "Box", 10, 17),
+        ("method", "Box.size", 12, 14),
+        ("method", "Box.run", 17, 17),
+    ]
+    assert D.parse_python(text)[0][2]["content"] == "    @property\n    def size(self):\n        return 1"
+    assert D.parse_python(text)[1] == "import os\n" + "\n" * 15
+
+
+def test_python_without_declarations_or_syntax():
+    assert D.parse_python("") == ([], "")
+    assert D.parse_python("x = 1\n") == ([], "x = 1")
+    assert D.parse_python("if True:\n    def hidden(): pass\n")[0] == []
+    assert D.parse_python("def broken(:\n") is None
+    assert D.parse_python("(" * 100_000) is None
+
+
+def test_python_lines_end_only_at_newlines():
+    rows, rest = D.parse_python("a = 1\x0c\r\ndef f():\r\n    return 1\r\nb = 2\r\n")
+    assert [(r["start_line"], r["end_line"], r["content"]) for r in rows] == [(2, 3, "def f():\n    return 1")]
+    assert rest == "a = 1\x0c\n\n\nb = 2"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "function go(a, b) {\n}\n",
+        "async function go() {\n}\n",
+        "export function go() {\n}\n",
+        "export default async function* go() {\n}\n",
+        "  function go(a: string): Promise<void> {\n}\n",
+        "const go = (a) => {\n};\n",
+        "export const go = async (a) => {\n};\n",
+        "let go: Fn = (a: number): string => {\n};\n",
+        "var go = () => {\n};\n",
+    ],
+)
+def test_script_functions(text):
+    assert braces(text, "typescript") == [("function", "go", 1, 2)]
+
+
+def test_script_classes_and_methods():
+    text = (
+        "export default class Box extends Base implements A, B {\n"
+        "  private async load(x: number): Promise<void> {\n    if (x) {\n    }\n  }\n"
+        "  static get size() {\n    return 1;\n  }\n"
+        "  constructor() { this.f = function() {}; }\n}\nclass Next {}\n"
+    )
+    assert braces(text, "typescript") == [
+        ("class", "Box", 1, 10),
+        ("method", "Box.load", 2, 5),
+        ("method", "Box.size", 6, 8),
+        ("method", "Box.constructor", 9, 9),
+        ("class", "Next", 11, 11),
+    ]
+
+
+def test_control_words_are_no_methods():
+    text = "class A {\n  if (x) {\n    go() {\n    }\n  }\n  while (y) {\n  }\n}\n"
+    assert names(text) == ["A", "A.go"]
+
+
+def test_anonymous_and_unclosed_bodies_are_searched():
+    assert names("export default function () {\n  function inner() {\n  }\n}\n") == ["inner"]
+    assert names("function open() {\n  const a = () => {\n  };\n") == ["a"]
+    assert names("class Open {\n function f() {}\n") == ["f"]
+
+
+def test_earliest_declaration_wins_and_hides_what_it_holds():
+    assert names("function a() {\n  class B {}\n  const c = () => {};\n}\nconst d = () => {};\n") == ["a", "d"]
+
+
+def test_dart():
+    text = (
+        "abstract class Box {\n  static int size() {\n    return 1;\n  }\n"
+        "  Stream<int> all() async* {\n  }\n  int one() => 1;\n}\n"
+        "Map<String, List<int>> make(\n  int a,\n) {\n}\n"
+        "class Gone; {\n"
+    )
+    assert braces(text, "dart") == [
+        ("class", "Box", 1, 8),
+        ("method", "Box.size", 2, 4),
+        ("method", "Box.all", 5, 6),
+        ("function", "make", 9, 12),
+    ]
+
+
+def test_dart_spans_start_on_blank_lines_before():
+    text = "void a() {\n}\n\n\nvoid b() {\n}\n"
+    assert braces(text, "dart") == [("function", "a", 1, 2), ("function", "b", 3, 6)]
+    assert D.parse_braces(text, "dart")[0][1]["content"] == "\n\nvoid b() {\n}"
+
+
+def test_dart_callables_equal_one_regex():
+    shape = re.compile(
+        rf"^[ \t]*(?:static\s+)?[\w$<>,\[\]?\s]+?\s+(?P<name>{D.NAME})\s*"
+        r"\([^;{]*\)\s*(?:async\s*\*?|sync\s*\*?)?\s*\{",
+        re.MULTILINE,
+    )
+    random.seed(2)
+    bits = ["\n", "\n", " ", "  ", "go", "static", "int", "(", ")", "{", "}", ";", "async", "sync", "*",
+            "<T>", "x$", ".", "é", "9a", "//", '"', ",", "\r", "=>", "\\"]
+    for _ in range(30_000):
+        text = "".join(random.choices(bits, k=random.randint(1, 18)))
+        for start in [0] + [m.end() for m in re.finditer("[{}]", text)][:2]:
+            m = shape.search(text, start)
+            want = m and (m.start(), m.end() - 1, m["name"])
+            assert D._dart_callable(text, start, len(text)) == want, repr(text)
+
+
+@pytest.mark.parametrize(
+    ("text", "close"),
+    [
+        ("{}", 1),
+        ("{ { } }", 6),
+        ("{ '}' }", 6),
+        ('{ "\\"}" }', 8),
+        ("{ `a\n}` }", 8),
+        ("{ // }\n}", 7),
+        ("{ /* } */ }", 10),
+        ("{ /*/ } */ }", 11),
+        ("{ '''}'}''' }", 12),
+        ('{ """a"}""" }', 12),
+        ("{ it's\n}", 7),
+        ("{ a / b }", 8),
+        ("{ 'a\\\n}' }", 9),
+        ("{", None),
+        ("{ `}", None),
+        ("{ /* }", None),
+        ("{ '''}", None),
+    ],
+)
+def test_closing_brace(text, close):
+    assert D.closing_brace(text, 0) == close
+
+
+def test_blanked_text_keeps_lines():
+    rows, rest = D.parse_braces("a;\r\nfunction f() {\r\n  x\r\n}\r\nb;", "javascript")
+    assert rest == "a;\r\n" + " " * 15 + "\n" + " " * 4 + "\n" + " " + "\r\nb;"
+    assert (rows[0]["start_line"], rows[0]["end_line"]) == (2, 4)
+
+
+def test_long_generated_files_take_linear_time():
+    rows = "final x = [\n" + "  Offset(1, 2),\n" * 50_000 + "];\n"
+    assert D.parse_braces(rows, "dart") == ([], rows)
+    words = "word word\n" * 100_000
+    assert D.parse_braces(words, "dart")[0] == []
+    many = "function f(a) {\n  return 1;\n}\n" * 20_000
+    assert len(D.parse_braces(many, "javascript")[0]) == 20_000
+
+
+def rows_of(df):
+    columns = ["file_path", "kind", "name", "start_line", "end_line", "content"]
+    return [tuple(r) for r in order_in_file(df).select(*columns).collect()]
+
+
+def test_dispatch(texts):
+    files = texts(
+        ("a.py", "python", "import os\n\ndef f():\n    pass\n"),
+        ("b.py", "python", "def broken(:\n  x\n"),
+        ("c.js", "javascript", "import a\nfunction f() {\n};\n"),
+        ("d.go", "go", "func main() {\n}\n"),
+        ("e.py", "python", ""),
+        ("f.dart", "dart", "int x = 1;\n"),
+    )
+    assert rows_of(extract_snippets(files)) == [
+        ("a.py", "block", None, 1, 1, "import os"),
+        ("a.py", "function", "f", 3, 4, "def f():\n    pass"),
+        ("b.py", "block", None, 1, 2, "def broken(:\n  x"),
+        ("c.js", "block", None, 1, 3, "import a\n" + " " * 14 + "\n ;"),
+        ("c.js", "function", "f", 2, 3, "function f() {\n}"),
+        ("d.go", "block", None, 1, 2, "func main() {\n}"),
+        ("f.dart", "block", None, 1, 1, "int x = 1;"),
+    ]
+    assert [r[:3] for r in rows_of(extract_python(files))] == [("a.py", "function", "f")]
+    assert [r[:3] for r in rows_of(extract_braces(files))] == [("c.js", "function", "f")]
+    assert [r[:2] for r in rows_of(leftovers(files))] == [("a.py", "block"), ("c.js", "block"), ("f.dart", "block")]
+
+
+def test_class_comes_before_its_first_line_method(texts):
+    files = texts(("a.js", "javascript", "class A { f() {\n} }\nclass B {\n  g() {} }\n"))
+    assert [r[2] for r in rows_of(extract_snippets(files))] == ["A", "B", "B.g"]
+
+
+def test_blank_pieces_can_be_dropped(texts):
+    body = "def f():\n" + "    x = 1\n" * 130
+    files = texts(("a.py", "python", "import os\n" + body + "a = 1\nb = 2\nc = 3\n"))
+    whole, solid = extract_snippets(files), extract_snippets(files, keep_blank=False)
+    assert whole.where("kind = 'block'").count() == 3
+    assert solid.where("kind = 'block'").count() == 2
+
+
+def test_every_line_with_text_is_in_a_snippet(texts):
+    random.seed(4)
+    bits = ["class A {\n", "  f() {\n", "}\n", "x\n", "\n", "const y = () => {\n", "'{'\n", "def f():\n", "  pass\n", "void g(int a) {\n"]
+    samples = ["".join(random.choices(bits, k=random.randint(1, 25))) for _ in range(300)]
+    kinds = ["python", "javascript", "dart", "go"]
+    files = texts(*[(str(i), kinds[i % 4], s) for i, s in enumerate(samples)])
+    covered = {}
+    for r in extract_snippets(files).collect():
+        assert 1 <= r["start_line"] <= r["end_line"]
+        covered.setdefault(int(r["file_path"]), set()).update(range(r["start_line"], r["end_line"] + 1))
+    for i, s in enumerate(samples):
+        filled = {n for n, line in enumerate(s.splitlines(), 1) if line.strip()}
+        assert filled <= covered.get(i, set()), s
+
+
+def test_one_narrow_pass(texts):
+    plan = extract_snippets(texts(("a.py", "python", "x")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
