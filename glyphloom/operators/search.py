@@ -55,17 +55,20 @@ def check_dimension(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return totals.select("vectors", dimension.alias("dimension"))
 
 
-def _unit_rows(column: pa.Array) -> np.ndarray:
+def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _unit_rows(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     """(n, dim) float64 matrix of unit rows; zero rows stay zero."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    column = _flat(column)
     if column.null_count:
         raise ValueError("a vector is null")
     widths = pc.unique(pc.list_value_length(column))
     if len(widths) > 1:
         raise ValueError(f"vectors of different widths: {widths.to_pylist()}")
     rows = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = rows.reshape(len(column), -1)
+    rows = rows.reshape(len(column), widths[0].as_py() if len(widths) else 0)
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return rows / np.where(norms == 0, 1.0, norms)
 
@@ -96,15 +99,11 @@ def _best(query_ids: pa.Array, queries: np.ndarray, ids: pa.Array, vectors: np.n
         )
 
 
-def _flat(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-
-
 def _scan(vectors: DataFrame, held: pa.Table, k: int, schema: T.StructType) -> DataFrame:
     """Local winners of every vector batch against the broadcast queries."""
     context = vectors.sparkSession.sparkContext
     shared = context.broadcast(
-        (_flat(held["query_id"]), _unit_rows(held["embedding"]).astype(np.float64))
+        (_flat(held["query_id"]), _unit_rows(held["embedding"]))
     )
 
     def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,8 +10,6 @@ from ..plans.build import IndexOptions
 from ..plans.update import apply_changes
 from ..sources.index import open_index
 
-_MARK = "stream_batch"
-
 
 def stream_update(
     stream: DataFrame,
@@ -24,17 +22,19 @@ def stream_update(
     """Apply (file_path, content, mtime, size, deleted) rows to the index as they arrive.
 
     The manifest is the state. Each micro-batch is one version of the index and leaves its
-    number in the commit, so a batch replayed after a failure is recognised and skipped.
+    number in the commit, under the id its checkpoint gives the stream, so a batch replayed
+    after a failure is recognised and skipped.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        applied = int(open_index(spark, index_path).meta.get(_MARK, "-1"))
-        if number <= applied:
+        stream_id = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        mark = f"stream {stream_id}"
+        if number <= int(open_index(spark, index_path).meta.get(mark, "-1")):
             return
         batch = batch.persist()
         try:
-            apply_changes(spark, index_path, batch, embedder, options, {_MARK: str(number)})
+            apply_changes(spark, index_path, batch, embedder, options, {mark: str(number)})
         finally:
             batch.unpersist()
 
