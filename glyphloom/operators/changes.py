@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from ..schema import CHANGED, NEW, REMOVED, SKIPPED, TOUCHED, UNCHANGED
 
 
+BROADCAST_BYTES = 256 << 20
+
+
+def join_bytes(path: Column) -> Column:
+    """Bytes rows of this key take as the broadcast side of a join, with some overhead."""
+    return F.coalesce(F.sum(F.octet_length(path).cast("long") + 64), F.lit(0))
+
+
+def broadcast_within(side: DataFrame, size: int) -> DataFrame:
+    """Broadcast a join side whose size was found to be small; else leave it to be shuffled."""
+    return F.broadcast(side) if size <= BROADCAST_BYTES else side
+
+
 def file_status(known: Column, same_mtime: Column, text_hash: Column, known_hash: Column) -> Column:
     """Status of a file that is present; a null ``text_hash`` means it has no text."""
     return (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import embedding_text
+from ..functions.text import embedding_text, let
 from ..schema import DEFAULT_MODEL, EMBED_BATCH
 
 
@@ -37,11 +36,12 @@ class KeywordEmbedder:
         self.name = "keyword:" + ",".join(self.vocabulary)
 
     def as_column(self, text: Column, batch_size: int = EMBED_BATCH) -> Column:
-        found = [F.contains(F.lower(text), F.lit(word)) for word in self.vocabulary]
-        slots = [hit.cast("float") for hit in found]
-        none = ~reduce(lambda a, b: a | b, found)
-        slots[-1] = F.when(none, F.lit(0.01).cast("float")).otherwise(slots[-1])
-        return F.array(*slots)
+        def found(lowered: Column) -> Column:
+            return F.array(*[F.contains(lowered, F.lit(w)).cast("float") for w in self.vocabulary])
+
+        nothing = F.lit([0.0] * (len(self.vocabulary) - 1) + [0.01]).cast("array<float>")
+        slots = let(F.lower(text), found)
+        return let(slots, lambda v: F.when(F.array_max(v) == 0, nothing).otherwise(v))
 
 
 class ModelEmbedder:

@@ -119,13 +119,15 @@ def _scan(vectors: DataFrame, held: pa.Table, k: int, schema: T.StructType) -> D
 def _cells(
     vectors: DataFrame, queries: DataFrame, k: int, schema: T.StructType, bytes_per_block: int
 ) -> DataFrame:
-    """Local winners of every (query block, vector block) cell."""
+    """Local winners of every (query block, vector block) cell.
 
-    def blocks(df: DataFrame) -> int:
-        total = df.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).first()[0]
-        return max(1, ceil((total or 0) / bytes_per_block))
+    Vectors are the larger side and travel once per query block, so these are kept few.
+    """
+
+    def blocks(df: DataFrame, block_bytes: int) -> int:
+        return max(1, ceil(_matrix_bytes(df) / block_bytes))
 
-    n_queries, n_vectors = blocks(queries), blocks(vectors)
+    n_queries, n_vectors = blocks(queries, 4 * bytes_per_block), blocks(vectors, bytes_per_block)
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = vectors.select("*", every(n_queries).alias("qb"), block("id", n_vectors).alias("vb"))
@@ -181,10 +183,14 @@ def top_k(
     return rank_hits(scored).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+def _matrix_bytes(df: DataFrame) -> int:
+    """Bytes the vectors of a frame take as a float64 matrix with their keys."""
+    return df.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).first()[0] or 0
+
+
 def _read_bounded(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """The queries as one Arrow table, or None when they take more than ``max_bytes``."""
-    size = queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).first()[0]
-    return queries.toArrow() if (size or 0) <= max_bytes else None
+    return queries.toArrow() if _matrix_bytes(queries) <= max_bytes else None
 
 
 def rank_hits(scored: DataFrame) -> DataFrame:

@@ -81,5 +81,5 @@ def build_index(
     index.write_snippets(version, options.snippets(texts, embedder))
     written = index.file_log(version)
     meta = {"model_name": embedder.name, "source_directory": source}
-    index = index.commit((version,), written.count(), 0, meta)
+    index = index.commit((version,), written.count(), meta)
     return IndexChange(index, build_summary(written, index.generation_snippets(version)))

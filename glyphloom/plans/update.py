@@ -11,7 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.changes import file_status, newest_per_key, update_summary
+from ..operators.changes import (
+    broadcast_within,
+    file_status,
+    join_bytes,
+    newest_per_key,
+    update_summary,
+)
 from ..operators.embed import Embedder, embedder_named
 from ..schema import CHANGED, NEW, REMOVED, SKIPPED
 from ..sources.index import SnippetIndex, compact_index, open_index
@@ -76,16 +82,27 @@ def apply_changes(
     """
     index = open_index(spark, path)
     embedder = _embedder_of(index, embedder)
-    newest = newest_per_key(changes, "file_path", "mtime")
-    gone = newest.where("deleted").select("file_path", F.lit(None).cast("string").alias("language"))
-    gone = gone.withColumn("mtime", F.lit(None).cast("double"))
+    folder = f"{_staging(index)}/changes"
+    newest_per_key(changes, "file_path", "mtime").write.mode("overwrite").parquet(folder)
+    newest = spark.read.schema(changes.schema).parquet(folder)
+    size = newest.agg(join_bytes(F.col("file_path"))).first()[0]
+    gone = newest.where("deleted").select(
+        "file_path",
+        F.lit(None).cast("string").alias("language"),
+        F.lit(None).cast("double").alias("mtime"),
+    )
     kept = options.keep(newest.where("NOT deleted"))
     listed = kept.select("file_path", "language", "mtime").unionByName(gone)
-    both = listed.join(_known(index), "file_path", "left")
+    touched = broadcast_within(listed.select("file_path"), size)
+    known = _known(index).join(touched, "file_path", "left_semi")
+    both = listed.join(known, "file_path", "left")
     differs = both.where(~F.equal_null("mtime", "known_mtime"))
-    return _apply(
-        index, differs, kept, None, embedder, options, {**index.meta, **(marks or {})}
-    )
+    meta = {**index.meta, **(marks or {})}
+    return _apply(index, differs, kept, None, embedder, options, meta)
+
+
+def _staging(index: SnippetIndex) -> str:
+    return f"{index.path}/staged/version={index.version + 1}"
 
 
 def _apply(
@@ -98,15 +115,17 @@ def _apply(
     meta: dict[str, str],
 ) -> IndexChange:
     spark, version = index.spark, index.version + 1
-    folder = f"{index.path}/staged/version={version}"
+    folder = f"{_staging(index)}/files"
     differs.write.mode("overwrite").parquet(folder)
     staged = spark.read.schema(differs.schema).parquet(folder)
+    size = staged.agg(join_bytes(F.col("file_path"))).first()[0]
     present = F.col("mtime").isNotNull()
 
     def texts(wanted: DataFrame) -> DataFrame:
         if read_content is not None:
             return decode_files(read_content(wanted.select("file_path", "language", "mtime")))
-        return decode_files(kept.join(wanted.select("file_path"), "file_path", "left_semi"))
+        wanted = broadcast_within(wanted.select("file_path"), size)
+        return decode_files(kept.join(wanted, "file_path", "left_semi"))
 
     hashed = hash_files(texts(staged.where(present))).select("file_path", "content_hash")
     known = F.col("known_mtime").isNotNull()
@@ -122,14 +141,16 @@ def _apply(
     )
     index.write_snippets(version, options.snippets(texts(changed), embedder))
 
-    tally = {(r["status"], r["known"]): r["count"] for r in log.groupBy("status", "known").count().collect()}
+    counts = log.groupBy("status", "known").count().collect()
+    tally = {(r["status"], r["known"]): r["count"] for r in counts}
     added, changes = tally.get((NEW, False), 0), tally.get((CHANGED, True), 0)
     removed, skipped = tally.get((REMOVED, True), 0), tally.get((SKIPPED, True), 0)
     updated = index.commit(
         (*index.generations, version),
         index.files + added - removed,
-        index.logged + sum(tally.values()),
         meta,
+        index.logged + sum(tally.values()),
+        index.logged_bytes + size,
     )
     unchanged = F.lit(index.files - changes - removed - skipped).cast("long")
     summary = update_summary(log, updated.generation_snippets(version))

@@ -6,8 +6,9 @@
 
 A full build starts over with one generation. An update only appends what changed, so its
 cost follows the change and not the corpus. Readers leave out snippets of files that a later
-generation changed or removed: an anti-join against the (small) later file logs, which
-Catalyst broadcasts while it is small. Compaction folds the generations into one.
+generation changed or removed, by an anti-join against the later file logs. The commit row
+holds the size of those logs, which decides whether they are broadcast. Compaction folds the
+generations into one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import newest_per_key
+from ..operators.changes import broadcast_within, newest_per_key
 from ..schema import CHANGED, FILE_LOG, NEW, REMOVED, SNIPPETS, STORED_SNIPPETS, TOUCHED
 
 _COMMIT = T.StructType(
@@ -28,6 +29,7 @@ _COMMIT = T.StructType(
         T.StructField("generations", T.ArrayType(T.IntegerType())),
         T.StructField("files", T.LongType()),
         T.StructField("logged", T.LongType()),
+        T.StructField("logged_bytes", T.LongType()),
         T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
     ]
 )
@@ -44,6 +46,7 @@ class SnippetIndex:
     generations: tuple[int, ...] = ()
     files: int = 0  # files in the manifest
     logged: int = 0  # rows logged since the last full build or compaction
+    logged_bytes: int = 0  # and the bytes they take as a join side
     meta: dict[str, str] = field(default_factory=dict)
 
     def _read(self, table: str, generations: tuple[int, ...], schema: T.StructType) -> DataFrame:
@@ -72,6 +75,7 @@ class SnippetIndex:
             .groupBy("file_path")
             .agg(F.max("generation").alias("since"))
         )
+        replaced = broadcast_within(replaced, self.logged_bytes)
         stale = (rows["file_path"] == replaced["file_path"]) & (
             rows["generation"] < replaced["since"]
         )
@@ -94,7 +98,8 @@ class SnippetIndex:
             F.col("status").isin(NEW, CHANGED, TOUCHED, REMOVED)
         )
         later = newest_per_key(later, "file_path", "generation")
-        kept = base.join(later.select("file_path"), "file_path", "left_anti")
+        gone = broadcast_within(later.select("file_path"), self.logged_bytes)
+        kept = base.join(gone, "file_path", "left_anti")
         return kept.unionByName(later.where(F.col("status") != REMOVED).select(*columns))
 
     def meta_frame(self) -> DataFrame:
@@ -119,13 +124,26 @@ class SnippetIndex:
         )
 
     def commit(
-        self, generations: tuple[int, ...], files: int, logged: int, meta: dict[str, str]
+        self,
+        generations: tuple[int, ...],
+        files: int,
+        meta: dict[str, str],
+        logged: int = 0,
+        logged_bytes: int = 0,
     ) -> SnippetIndex:
         version = self.version + 1
-        row = [(version, list(generations), files, logged, meta)]
-        frame = self.spark.createDataFrame(row, _COMMIT).drop("version").coalesce(1)
-        frame.write.json(f"{self.path}/commits/version={version}")
-        return SnippetIndex(self.spark, self.path, version, generations, files, logged, meta)
+        entries = [F.lit(text) for item in meta.items() for text in item]
+        row = self.spark.range(1).select(
+            F.lit(list(generations)).alias("generations"),
+            F.lit(files).alias("files"),
+            F.lit(logged).alias("logged"),
+            F.lit(logged_bytes).alias("logged_bytes"),
+            F.create_map(*entries).alias("meta"),
+        )
+        row.coalesce(1).write.json(f"{self.path}/commits/version={version}")
+        return SnippetIndex(
+            self.spark, self.path, version, generations, files, logged, logged_bytes, meta
+        )
 
 
 def latest_version(spark: SparkSession, path: str) -> SnippetIndex:
@@ -141,7 +159,14 @@ def latest_version(spark: SparkSession, path: str) -> SnippetIndex:
     if row is None:
         return SnippetIndex(spark, path)
     return SnippetIndex(
-        spark, path, row.version, tuple(row.generations), row.files, row.logged, dict(row.meta)
+        spark,
+        path,
+        row["version"],
+        tuple(row["generations"]),
+        row["files"],
+        row["logged"],
+        row["logged_bytes"],
+        dict(row["meta"] or {}),
     )
 
 
@@ -162,10 +187,10 @@ def write_index(
     """Full overwrite with given snippets (with vectors), manifest and meta."""
     index = latest_version(spark, path)
     version = index.version + 1
-    index.write_files(version, manifest.withColumn("status", F.lit(NEW)).withColumn("known", F.lit(False)))
+    index.write_files(version, manifest.withColumns({"status": F.lit(NEW), "known": F.lit(False)}))
     index.write_snippets(version, stored)
     files = index.file_log(version).count()
-    return index.commit((version,), files, 0, meta)
+    return index.commit((version,), files, meta)
 
 
 def compact_index(spark: SparkSession, path: str) -> SnippetIndex:

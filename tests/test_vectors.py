@@ -63,7 +63,7 @@ def test_both_routes_equal_all_pairs(spark, route):
     random.Random(1).shuffle(known)
     df = spark.createDataFrame(known, ROWS).repartition(5)
     queries = spark.createDataFrame(asked, ASKED)
-    limits = {} if route == "broadcast" else {"broadcast_bytes": 0, "cell_bytes": 3000}
+    limits = {} if route == "broadcast" else {"broadcast_bytes": 0, "cell_bytes": 1000}
     for k in (1, 7, 300):
         assert hits(search.top_k(df, queries, k, **limits)) == best(known, asked, k)
 
