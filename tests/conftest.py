@@ -16,7 +16,10 @@ def spark():
     settings = {
         "spark.driver.host": "127.0.0.1",
         "spark.driver.bindAddress": "127.0.0.1",
-        "spark.sql.shuffle.partitions": "4",
+        "spark.sql.shuffle.partitions": "2",
+        # tiny inputs: compiling a plan takes longer than interpreting it
+        "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
     }
