@@ -327,7 +327,8 @@ FROM embeddings JOIN centres ON label = query_id""",
     "index_roundtrip": _PROSE_INDEX,
     "index_count": f"WITH {PROSE_SNIPPETS} SELECT count(*) AS snippets FROM prose_snippets",
     "list_snippets": f"WITH {PROSE_SNIPPETS} SELECT file_path, start_line, end_line, id FROM prose_snippets",
-    "show": f"""WITH {PROSE_SNIPPETS} SELECT id, file_path, start_line, end_line, kind, language, content
+    "show": f"""WITH {PROSE_SNIPPETS} SELECT id, file_path, start_line, end_line, kind, language, content,
+  kind AS title, printf('%s:%d-%d  id=%s', file_path, start_line, end_line, id) AS subtitle
 FROM prose_snippets WHERE id = (SELECT min(id) FROM prose_snippets)""",
     "build_index_rows": f"""WITH {CODE_SNIPPETS}, {PROSE_SNIPPETS},
 snippets AS (SELECT * FROM code_snippets UNION ALL SELECT * FROM prose_snippets),

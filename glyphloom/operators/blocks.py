@@ -98,7 +98,12 @@ def split_blocks(
     breaks: str = LINE_BREAKS,
     id_length: int = ID_LENGTH,
 ) -> DataFrame:
-    """One ``block`` snippet per block of every (file_path, language, content) row."""
+    """One ``block`` snippet per block of every (file_path, language, content) row.
+
+    Files without a ``language`` column are ``generic``.
+    """
+    if "language" not in files.columns:
+        files = files.withColumn("language", F.lit("generic"))
     blocks = files.select(
         "file_path",
         "language",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import hit_header, preview
+from ..functions.text import hit_header, label, preview
 
 
 def hydrate(hits: DataFrame, snippets: DataFrame) -> DataFrame:
@@ -22,5 +22,10 @@ def format_hits(hydrated: DataFrame) -> DataFrame:
 
 
 def show(snippets: DataFrame, snippet: str) -> DataFrame:
-    """The snippet of an id, or no row; the equality reaches the parquet scan."""
-    return snippets.where(F.col("id") == snippet)
+    """The snippet of an id with ``title`` and ``subtitle``, or no row.
+
+    The equality reaches the parquet scan.
+    """
+    place = F.format_string("%s:%d-%d  id=%s", "file_path", "start_line", "end_line", "id")
+    found = snippets.where(F.col("id") == snippet)
+    return found.withColumns({"title": label(F.col("kind"), F.col("name")), "subtitle": place})

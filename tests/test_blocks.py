@@ -22,6 +22,7 @@ def test_nothing_to_split(texts):
 def test_blocks_and_their_columns(texts):
     row = split_blocks(texts(("f.go", "go", "\na\nb\nc"))).collect()[0]
     assert (row["kind"], row["name"], row["language"], row["file_path"]) == ("block", None, "go", "f.go")
+    assert split_blocks(texts(("f.go", "go", "a")).drop("language")).first()["language"] == "generic"
     assert cut(texts, "a\nb\nc\n\n\nd\ne\nf\n") == [(1, 3, "a\nb\nc"), (6, 8, "d\ne\nf")]
 
 

@@ -178,7 +178,9 @@ def test_find_and_show(spark, built):
     assert found[0]["preview"] == "    def sorter(x):\n        return sorted(x)"
     assert len(finding.find(built, "network", 50).collect()) == 4
     assert finding.find(built, "network", 0).collect() == []
-    assert [r["name"] for r in finding.show(built, found[0]["id"]).collect()] == ["sorter"]
+    shown = finding.show(built, found[0]["id"]).first()
+    assert (shown["name"], shown["title"]) == ("sorter", "function sorter")
+    assert shown["subtitle"] == f"sort.py:1-2  id={found[0]['id']}"
     assert finding.show(built, "absent").collect() == []
 
 
