@@ -16,7 +16,7 @@ from ..plans.update import update_index
 from ..sources.index import SnippetIndex, open_index, write_index
 from ..sources.scratch import scratch_folder
 from ..sources.tables import decode_files, files_from_table, hash_files
-from ..sources.tree import scan_tree
+from ..sources.tree import mounted_path, scan_tree
 from ..streaming.updates import stream_update
 from . import corpora as C
 
@@ -95,13 +95,14 @@ def tree_scan(spark, folder):
 
 def _write_tree(files: DataFrame, root: str) -> None:
     """Write one file per row, on the executors."""
+    base = mounted_path(root)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         for batch in batches:
             for row in batch.to_pylist():
-                target = os.path.join(root.removeprefix("file:"), row["file_path"])
+                target = os.path.join(base, row["file_path"])
                 os.makedirs(os.path.dirname(target), exist_ok=True)
                 with open(target, "w", encoding="utf-8", newline="") as f:
                     f.write(row["content"])

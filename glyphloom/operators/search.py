@@ -190,7 +190,11 @@ def _matrix_bytes(df: DataFrame) -> int:
 
 def _read_bounded(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """The queries as one Arrow table, or None when they take more than ``max_bytes``."""
-    return queries.toArrow() if _matrix_bytes(queries) <= max_bytes else None
+    queries = queries.persist()  # embedding them may be costly: once for both steps
+    try:
+        return queries.toArrow() if _matrix_bytes(queries) <= max_bytes else None
+    finally:
+        queries.unpersist()
 
 
 def rank_hits(scored: DataFrame) -> DataFrame:

@@ -1,15 +1,17 @@
 """Incremental update of a stored index.
 
-Phase 1 compares paths and mtimes only and writes down what differs. Phase 2 reads and
-hashes just those files and writes the file log of the new generation; from there on the
-classification is fixed, whatever is recomputed later. Phase 3 extracts and embeds the new
-and changed files. The commit makes all of it visible at once.
+Phase 1 compares paths and mtimes only and writes down what differs. Phase 2 reads just those
+files, once, and keeps their texts and hashes; from these it writes the file log of the new
+generation. From there on the classification is fixed, whatever is recomputed later. Phase 3
+extracts and embeds the kept texts of new and changed files. The commit makes all of it
+visible at once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.changes import (
     broadcast_within,
@@ -27,6 +29,11 @@ from .build import IndexChange, IndexOptions, Reader
 MAX_GENERATIONS = 24
 MAX_LOGGED_SHARE = 0.25
 
+_ORDERED = ["file_path", "mtime"]
+_TEXTS = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ["file_path", "language", "content", "content_hash"]]
+)
+
 
 def _embedder_of(index: SnippetIndex, embedder: Embedder | None) -> Embedder:
     stored = index.meta["model_name"]
@@ -102,7 +109,8 @@ def apply_changes(
 
 
 def _staging(index: SnippetIndex) -> str:
-    return f"{index.path}/staged/version={index.version + 1}"
+    """Working tables of the update in progress; the next one overwrites them."""
+    return f"{index.path}/staged"
 
 
 def _apply(
@@ -114,32 +122,40 @@ def _apply(
     options: IndexOptions,
     meta: dict[str, str],
 ) -> IndexChange:
-    spark, version = index.spark, index.version + 1
-    folder = f"{_staging(index)}/files"
-    differs.write.mode("overwrite").parquet(folder)
-    staged = spark.read.schema(differs.schema).parquet(folder)
-    size = staged.agg(join_bytes(F.col("file_path"))).first()[0]
+    spark, version, staging = index.spark, index.version + 1, _staging(index)
+    differs.write.mode("overwrite").parquet(f"{staging}/files")
+    staged = spark.read.schema(differs.schema).parquet(f"{staging}/files")
     present = F.col("mtime").isNotNull()
+    found = staged.agg(
+        join_bytes(F.col("file_path")).alias("size"),
+        *[F.min(F.when(present, F.col(c))).alias(f"low_{c}") for c in _ORDERED],
+        *[F.max(F.when(present, F.col(c))).alias(f"high_{c}") for c in _ORDERED],
+    ).first()
+
+    wanted = staged.where(present).select("file_path", "language", "mtime")
+    if read_content is not None:
+        contents = read_content(wanted)
+    else:
+        for c in _ORDERED:  # lets the scan skip row groups, whole ones when only the latest changed
+            kept = kept.where(F.col(c).between(F.lit(found[f"low_{c}"]), F.lit(found[f"high_{c}"])))
+        wanted = broadcast_within(wanted.select("file_path"), found["size"])
+        contents = kept.join(wanted, "file_path", "left_semi")
+    texts = hash_files(decode_files(contents)).select(*_TEXTS.names)
+    # few rows out of many input partitions: even them out before they become files
+    texts.hint("rebalance").write.mode("overwrite").parquet(f"{staging}/texts")
+    texts = spark.read.schema(_TEXTS).parquet(f"{staging}/texts")
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        if read_content is not None:
-            return decode_files(read_content(wanted.select("file_path", "language", "mtime")))
-        wanted = broadcast_within(wanted.select("file_path"), size)
-        return decode_files(kept.join(wanted, "file_path", "left_semi"))
-
-    hashed = hash_files(texts(staged.where(present))).select("file_path", "content_hash")
     known = F.col("known_mtime").isNotNull()
     status = F.when(~present, F.lit(REMOVED)).otherwise(
         file_status(known, F.lit(False), F.col("content_hash"), F.col("known_hash"))
     )
-    log = staged.join(hashed, "file_path", "left").withColumns({"status": status, "known": known})
-    index.write_files(version, log)
+    log = staged.join(texts.select("file_path", "content_hash"), "file_path", "left")
+    index.write_files(version, log.withColumns({"status": status, "known": known}))
 
     log = index.file_log(version)
-    changed = staged.join(
-        log.where(F.col("status").isin(NEW, CHANGED)).select("file_path"), "file_path", "left_semi"
-    )
-    index.write_snippets(version, options.snippets(texts(changed), embedder))
+    changed = log.where(F.col("status").isin(NEW, CHANGED)).select("file_path")
+    changed = texts.join(broadcast_within(changed, found["size"]), "file_path", "left_semi")
+    index.write_snippets(version, options.snippets(changed, embedder))
 
     counts = log.groupBy("status", "known").count().collect()
     tally = {(r["status"], r["known"]): r["count"] for r in counts}
@@ -150,7 +166,7 @@ def _apply(
         index.files + added - removed,
         meta,
         index.logged + sum(tally.values()),
-        index.logged_bytes + size,
+        index.logged_bytes + found["size"],
     )
     unchanged = F.lit(index.files - changes - removed - skipped).cast("long")
     summary = update_summary(log, updated.generation_snippets(version))

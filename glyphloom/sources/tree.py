@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -90,8 +91,16 @@ class FileTree(DataSource):
         return _TreeReader(self.options)
 
 
+def mounted_path(root: str) -> str:
+    """The path of a folder given as a path or file: URI; other file systems are refused."""
+    path = root.removeprefix("file:")
+    if re.match(r"\w+:", path):
+        raise ValueError(f"not on a mounted file system: {root}")
+    return re.sub(r"^/{2,}", "/", path)
+
+
 def _local(root: str) -> str:
-    path = os.path.realpath(root.removeprefix("file://").removeprefix("file:"))
+    path = os.path.realpath(mounted_path(root))
     if not os.path.isdir(path):
         raise NotADirectoryError(f"not a directory: {root}")
     return path

@@ -114,8 +114,7 @@ def test_update_reads_only_files_whose_mtime_moved(spark, files, built):
 
     listed = files(later()).drop("content")
     change = update_index(spark, built.path, listed, read_content=read)
-    # sort, db, new and empty to classify; db and new to extract
-    assert seen.value == 4 + 2
+    assert seen.value == 4  # sort, db, new and empty, each read once
     assert change.summary.first()["unchanged"] == 2
 
 
