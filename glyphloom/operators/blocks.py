@@ -6,6 +6,8 @@ over its lines, so splitting needs no shuffle and no sort: scan, project, explod
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,12 @@ def blocks_of(
     return let(split_lines(text, breaks), cut)
 
 
+@cache
+def blocks_of_column(name: str, max_lines: int, min_lines: int, breaks: str) -> Column:
+    """``blocks_of`` a named column; the unresolved expression is large and built only once."""
+    return blocks_of(F.col(name), max_lines, min_lines, breaks)
+
+
 def split_blocks(
     files: DataFrame,
     max_lines: int = MAX_BLOCK_LINES,
@@ -107,7 +115,7 @@ def split_blocks(
     blocks = files.select(
         "file_path",
         "language",
-        F.posexplode(blocks_of(F.col("content"), max_lines, min_lines, breaks)).alias(
+        F.posexplode(blocks_of_column("content", max_lines, min_lines, breaks)).alias(
             "ordinal", "b"
         ),
     )

@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LINE_BREAKS, NEWLINES, NOT_BLANK, snippet_id
 from ..schema import ID_LENGTH, MAX_BLOCK_LINES, MIN_BLOCK_LINES
-from .blocks import blocks_of
+from .blocks import blocks_of_column
 from .declarations import parse_declarations
 
 
-@cache
-def _blocks(column: str, max_lines: int, min_lines: int, breaks: str) -> Column:
-    """``blocks_of`` a named column; the unresolved expression is large and built only once."""
-    return blocks_of(F.col(column), max_lines, min_lines, breaks)
-
-
 def _as_snippets(rows: Column, kind: Column | None = None) -> Column:
     """Same struct layout for declaration and block arrays."""
     return F.transform(
@@ -84,7 +76,7 @@ def leftovers(
     id_length: int = ID_LENGTH,
 ) -> DataFrame:
     """Blocks of what the declarations of parsed files do not cover."""
-    rest = _blocks("parsed.leftover", max_lines, min_lines, NEWLINES)
+    rest = blocks_of_column("parsed.leftover", max_lines, min_lines, NEWLINES)
     return _explode(_parsed(files), _as_snippets(rest, F.lit("block")), id_length)
 
 
@@ -102,8 +94,8 @@ def extract_snippets(
     ``keep_blank=False`` drops pieces that hold no text at all, which arise where a long
     merged range is cut inside covered lines.
     """
-    whole = _blocks("content", max_lines, min_lines, LINE_BREAKS)
-    rest = _blocks("parsed.leftover", max_lines, min_lines, NEWLINES)
+    whole = blocks_of_column("content", max_lines, min_lines, LINE_BREAKS)
+    rest = blocks_of_column("parsed.leftover", max_lines, min_lines, NEWLINES)
     block = F.lit("block")
     snippets = F.when(
         F.col("parsed").isNotNull(),
