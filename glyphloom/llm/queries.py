@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bktree, bpe, htmltext, langid, packing, pii, quality, urlrules, vafile, warc
+from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,6 +93,3 @@ def op9_best_fit(spark, folder):
 def op10_warc_derivatives(spark, folder):
     responses = warc.response_records(table(spark, folder, "pages"))
     return warc.derivatives(responses, keep=["page_id"])
-
-
-ORACLES: dict[str, str] = {}
