@@ -26,7 +26,7 @@ _MEASURES = {
     "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
     "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
 }
-_SLACK = {"word_length": 100, "symbols": 10, "dup_lines": 50, "repeats": 50}
+_SLACK = {"word_length": 100, "symbols": 10, "dup_lines": 100, "repeats": 50}
 
 
 def _quartiles(by: str) -> str:

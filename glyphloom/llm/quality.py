@@ -32,7 +32,7 @@ MIN_GROUP = 100
 #: Fence: quartile and so many quartile distances; the distance counts as at least ``slack``.
 SPREAD = 6
 #: measure -> (slack of the quartile distance, whether low values fail too)
-MEASURES = {"word_length": (100, True), "symbols": (10, False), "dup_lines": (50, False), "repeats": (50, False)}
+MEASURES = {"word_length": (100, True), "symbols": (10, False), "dup_lines": (100, False), "repeats": (50, False)}
 COUNT_NAMES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 COUNTS = ", ".join(f"{c} long" for c in COUNT_NAMES)
 
