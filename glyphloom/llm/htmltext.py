@@ -3,7 +3,7 @@
 A page becomes a tree of elements. Every paragraph-like block of some length earns points for its
 length and commas and passes them to its ancestors, the nearer the more; an element's sum is
 discounted by its link density. The best container, or the article around it, is kept, and with it
-those siblings that score well or are plain paragraphs. Menus, headers, footers, sidebars, notices,
+those siblings that score well or are plain paragraphs, less lists of nothing but links. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments are cut out beforehand by element, role and class.
 
 The text of each block has its character references decoded and white space turned into one space;
@@ -64,16 +64,18 @@ P_SCOPE = frozenset({"td", "th", "table", "button", "caption", "object"})
 MIN_BLOCK = 25
 FULL, LEAST_SHARE, LEAST_SCORE = 100, 0.2, 10.0
 ARTICLE_BONUS = 25.0
+#: Lists and boxes of nearly nothing but links are menus.
+LISTS = frozenset({"ul", "ol", "dl", "div", "section", "table"})
+MENU_LINKS, MENU_DENSITY = 3, 0.8
 
 
 class Node:
-    __slots__ = ("tag", "parent", "cut", "by_class", "score", "chars", "link_chars", "depth", "order")
+    __slots__ = ("tag", "parent", "cut", "by_class", "score", "chars", "link_chars", "links", "order")
 
     def __init__(self, tag: str, parent: Node | None, order: int) -> None:
         self.tag, self.parent, self.order = tag, parent, order
         self.cut, self.by_class = False, False
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
-        self.depth = parent.depth + 1 if parent else 0
+        self.score, self.chars, self.link_chars, self.links = 0.0, 0, 0, 0
 
 
 class Block:
@@ -189,7 +191,10 @@ def parse(page: str) -> tuple[list[Node], list[Block]]:
         if m["rest"].endswith("/") and tag in ("svg", "path", "use"):
             continue
         stack.append(node)
-        links += tag == "a"
+        if tag == "a":
+            links += 1
+            for n in stack:
+                n.links += 1
         if tag in ("article", "main") and not node.cut:
             for n in stack:
                 n.by_class = False
@@ -243,7 +248,13 @@ def extract_text(page: str | None) -> str:
                 plain = n.tag in ("p", "pre", "blockquote") and density(n) < 0.25 and n.chars > 80
                 if n.score >= least or plain or re.fullmatch("h[1-6]", n.tag):
                     chosen.add(id(n))
-    return "\n\n".join(b.text for b in kept if any(id(n) in chosen for n in _chain(b.node)))
+    menus = {id(n) for n in nodes if n.tag in LISTS and n.links >= MENU_LINKS and density(n) > MENU_DENSITY and id(n) not in chosen}
+    out = []
+    for b in kept:
+        above = [id(n) for n in _chain(b.node)]
+        if not chosen.isdisjoint(above) and menus.isdisjoint(above):
+            out.append(b.text)
+    return "\n\n".join(out)
 
 
 def with_main_text(pages: DataFrame, html_column: str = "html", keep: list[str] | None = None) -> DataFrame:

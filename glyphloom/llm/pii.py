@@ -174,11 +174,14 @@ def cover(spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
 
 
 def redact(text: str | None) -> str | None:
-    parts, at = [], 0
-    for kind, start, end in cover(find_spans(text)):
-        parts += [text[at:start], f"[{kind.upper()}]"]
-        at = end
-    return text if not parts else "".join([*parts, text[at:]])
+    """``text`` without personal data; what a replacement brings to light is replaced in turn."""
+    while spans := find_spans(text):
+        parts, at = [], 0
+        for kind, start, end in cover(spans):
+            parts += [text[at:start], f"[{kind.upper()}]"]
+            at = end
+        text = "".join([*parts, text[at:]])
+    return text
 
 
 def redact_documents(documents: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
