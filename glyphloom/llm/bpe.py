@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable
 from functools import lru_cache
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from .batches import made_columns
 
 #: Characters of text whose words are merged together.
-BLOCK = 16_000_000
+BLOCK = 4_000_000
 NONE = np.int64(1) << 40
 
 # The split pattern in terms of Python's own classes, for texts in which both agree: no numerals
@@ -42,7 +43,7 @@ NONE = np.int64(1) << 40
 PLAIN = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:s|t|re|ve|m|ll|d)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 PLAIN_FOR = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps for its next blocks.
-KEPT = 400_000
+KEPT = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -76,7 +77,7 @@ class Merges:
             low[b] |= r < b
         self.low = low
         self.byte_pairs = self.pair_ranks(*(x.ravel() for x in np.meshgrid(self.bytes, self.bytes, indexing="ij"))).reshape(256, 256)
-        self.known: dict[str, int] = {}
+        self.known: defaultdict[str, int] = defaultdict(count().__next__)
         self.ids, self.begin = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,9 +162,9 @@ class Merges:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and the place where each text's begin (one more at the end)."""
-        old = len(self.known)
-        known: defaultdict[str, int] = defaultdict(count(old).__next__, self.known)
-        words: list[int] = []
+        known, old = self.known, len(self.known)
+        known.default_factory = count(old).__next__
+        words = array("i")
         sizes = []
         for text in texts:
             there = len(words)
@@ -171,10 +172,10 @@ class Merges:
             sizes.append(len(words) - there)
         new, new_begin = self.replay([w.encode("utf-8", "surrogatepass") for w in islice(known, old, None)])
         ids, begin = np.concatenate((self.ids, new.astype(np.int32))), np.concatenate((self.begin, new_begin[1:] + len(self.ids)))
-        kept = min(len(known), KEPT)
-        self.known = dict(islice(known.items(), kept))
-        self.ids, self.begin = ids[: begin[kept]], begin[: kept + 1]
-        used = np.array(words, np.int64)
+        for word in list(islice(known, KEPT, None)):
+            del known[word]
+        self.ids, self.begin = ids[: begin[len(known)]], begin[: len(known) + 1]
+        used = np.frombuffer(words, np.int32)
         lengths = (begin[1:] - begin[:-1])[used]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
