@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 from ..schema import EXTENSIONS, IGNORED_DIRS
 
 
+def relative_path(path: Column, root: str | None = None) -> Column:
+    """Path below ``root``, without ``.`` segments and doubled slashes.
+
+    Paths that do not lie below ``root`` are only tidied.
+    """
+    tidy = F.regexp_replace(path, r"/(?:\./|/)*", "/")
+    tidy = F.regexp_replace(tidy, r"^\./|/\.\z", "")
+    if root is None:
+        return tidy
+    base = re.sub(r"/(?:\./|/)*", "/", root + "/").removeprefix("./")
+    below = tidy.startswith(base)
+    return F.when(below, F.substr(tidy, F.lit(len(base) + 1))).otherwise(tidy) if base != "/" else F.ltrim(tidy, F.lit("/"))
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -21,28 +21,43 @@ def broadcast_within(side: DataFrame, size: int) -> DataFrame:
     return F.broadcast(side) if size <= BROADCAST_BYTES else side
 
 
-def file_status(known: Column, same_mtime: Column, text_hash: Column, known_hash: Column) -> Column:
-    """Status of a file that is present; a null ``text_hash`` means it has no text."""
+def compare_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """All paths of both sides, with ``present`` and ``known`` for the side each is on.
+
+    ``files`` keeps its columns; the manifest's become known_mtime and known_hash.
+    """
+    old = manifest.select(
+        "file_path",
+        F.col("mtime").alias("known_mtime"),
+        F.col("content_hash").alias("known_hash"),
+        F.lit(True).alias("known"),
+    )
+    both = files.withColumn("present", F.lit(True)).join(old, "file_path", "full")
+    sides = {side: F.coalesce(side, F.lit(False)) for side in ("present", "known")}
+    return both.withColumns(sides)
+
+
+def same_mtime() -> Column:
+    """Whether a compared file is trusted to be as it was; an unknown mtime never is."""
+    return F.col("present") & F.col("known") & F.coalesce(F.col("mtime") == F.col("known_mtime"), F.lit(False))
+
+
+def file_status() -> Column:
+    """Status of a compared file with its content_hash; a null hash means that it has no text."""
     return (
-        F.when(known & same_mtime, UNCHANGED)
-        .when(text_hash.isNull(), SKIPPED)
-        .when(~known, NEW)
-        .when(text_hash == known_hash, TOUCHED)
+        F.when(~F.col("present"), REMOVED)
+        .when(same_mtime(), UNCHANGED)
+        .when(F.col("content_hash").isNull(), SKIPPED)
+        .when(~F.col("known"), NEW)
+        .when(F.col("content_hash") == F.col("known_hash"), TOUCHED)
         .otherwise(CHANGED)
     )
 
 
 def classify_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file_path, status) of files (file_path, mtime, content_hash) against a manifest."""
-    old = manifest.select(
-        "file_path", F.col("mtime").alias("known_mtime"), F.col("content_hash").alias("known_hash")
-    )
-    joined = files.select("file_path", "mtime", "content_hash").join(old, "file_path", "left")
-    known = F.col("known_mtime").isNotNull()
-    status = file_status(
-        known, F.col("mtime") == F.col("known_mtime"), F.col("content_hash"), F.col("known_hash")
-    )
-    return joined.select("file_path", status.alias("status"))
+    both = compare_files(files.select("file_path", "mtime", "content_hash"), manifest)
+    return both.where("present").select("file_path", file_status().alias("status"))
 
 
 def removed_files(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -66,16 +81,23 @@ def newest_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert(
-    existing: DataFrame, incoming: DataFrame, key: str, sequence: str | None = None
+    existing: DataFrame,
+    incoming: DataFrame,
+    key: str,
+    sequence: str | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Existing rows with incoming ones put in their place by key.
 
     ``sequence`` names the incoming column that orders rows of one key (the last one wins);
-    without it the incoming keys are taken to be unique.
+    without it the incoming keys are taken to be unique. ``size``: bytes of the incoming keys,
+    where they are known.
     """
     if sequence is not None:
         incoming = newest_per_key(incoming, key, sequence)
-    kept = existing.join(incoming.select(key), key, "left_anti")
+    keys = incoming.select(key)
+    keys = keys if size is None else broadcast_within(keys, size)
+    kept = existing.join(keys, key, "left_anti")
     return kept.unionByName(incoming.select(*existing.columns))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..schema import EXTENSIONS, IGNORED_DIRS, MAX_FILE_BYTES
+from ..schema import IGNORED_DIRS, MAX_FILE_BYTES
 
 
 def filter_extensions(
@@ -19,24 +19,14 @@ def filter_extensions(
     return tagged.where(F.col("language").isNotNull())
 
 
-def extensions_for_languages(
-    languages: Iterable[str] | None, extensions: Mapping[str, str] | None = None
-) -> dict[str, str]:
-    """Part of the suffix table for the given languages; None means all of it."""
-    table = EXTENSIONS if extensions is None else extensions
-    if languages is None:
-        return dict(table)
-    wanted = set(languages)
-    return {suffix: lang for suffix, lang in table.items() if lang in wanted}
-
-
 def filter_languages(
     files: DataFrame,
     languages: Iterable[str] | None,
     extensions: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Keep files of the given languages; None keeps every registered one, [] none."""
-    return filter_extensions(files, extensions_for_languages(languages, extensions))
+    tagged = filter_extensions(files, extensions)
+    return tagged if languages is None else tagged.where(F.col("language").isin(sorted(set(languages))))
 
 
 def filter_ignored_dirs(files: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
@@ -48,15 +38,34 @@ def filter_ignore_patterns(
     files: DataFrame, patterns: Iterable[str] | None, ignore_dirs: Iterable[str] | None = None
 ) -> DataFrame:
     """Apply "name/" patterns with the ignored directories, other patterns as globs."""
+    return files.where(~_ignored(F.col("file_path"), patterns, ignore_dirs))
+
+
+def _ignored(path: Column, patterns: Iterable[str] | None, ignore_dirs: Iterable[str] | None) -> Column:
     extra, globs = paths.split_patterns(patterns or ())
     names = set(IGNORED_DIRS if ignore_dirs is None else ignore_dirs) | extra
-    kept = filter_ignored_dirs(files, names)
-    return kept.where(~paths.matches_any_glob(F.col("file_path"), globs)) if globs else kept
+    return paths.in_ignored_dir(path, names) | paths.matches_any_glob(path, globs)
+
+
+def passes_path(
+    path: Column,
+    languages: Iterable[str] | None = None,
+    ignore_patterns: Iterable[str] | None = None,
+    ignore_dirs: Iterable[str] | None = None,
+    extensions: Mapping[str, str] | None = None,
+) -> Column:
+    """What ``indexable_files`` asks of a path, as one condition."""
+    language = paths.language_for(path, extensions)
+    wanted = language.isNotNull() if languages is None else language.isin(sorted(set(languages)))
+    return F.coalesce(wanted & ~_ignored(path, ignore_patterns, ignore_dirs), F.lit(False))
 
 
 def filter_size(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """Drop files larger than ``max_bytes``."""
-    return files.where(F.col("size") <= max_bytes)
+    """Drop files larger than ``max_bytes``; without a size the content's length counts, if there is one."""
+    size = F.col("size")
+    if "content" in files.columns:
+        size = F.coalesce(size, F.octet_length("content").cast("long"))
+    return files.where(F.coalesce(size <= max_bytes, F.lit(True)))
 
 
 def indexable_files(

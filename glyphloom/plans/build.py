@@ -5,23 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.changes import build_summary
 from ..operators.embed import Embedder, embed_snippets
 from ..operators.extract import extract_snippets
-from ..operators.filters import indexable_files
+from ..operators.filters import indexable_files, passes_path
 from ..schema import EMBED_BATCH, ID_LENGTH, MAX_BLOCK_LINES, MAX_FILE_BYTES, MIN_BLOCK_LINES, NEW
 from ..sources.index import SnippetIndex, latest_version
 from ..sources.tables import decode_files, hash_files
 
+STREAM_MARK = "stream "
 Reader = Callable[[DataFrame], DataFrame]  # listed files -> the same files with content
 
 
 @dataclass(frozen=True)
 class IndexOptions:
-    """What is indexed and how; everything but the filters must stay as it was built."""
+    """What is indexed and how; all but the filters and the last two must stay as it was built.
+
+    An update compacts the index beyond ``max_generations``, or when the files logged since the
+    last full build exceed ``max_logged_share`` of all files.
+    """
 
     languages: Iterable[str] | None = None
     ignore_patterns: Iterable[str] | None = None
@@ -32,6 +37,12 @@ class IndexOptions:
     min_lines: int = MIN_BLOCK_LINES
     id_length: int = ID_LENGTH
     batch_size: int = EMBED_BATCH
+    max_generations: int = 24
+    max_logged_share: float = 0.25
+
+    def takes_path(self, path: Column) -> Column:
+        """The filters that a path alone decides."""
+        return passes_path(path, self.languages, self.ignore_patterns, self.ignore_dirs, self.extensions)
 
     def keep(self, files: DataFrame) -> DataFrame:
         return indexable_files(
@@ -73,13 +84,15 @@ def build_index(
     shows a newer mtime to the next update. Counts come from the written tables.
     """
     index = latest_version(spark, path)
-    version = index.version + 1
+    generation = index.new_generation()
     kept = options.keep(files)
     texts = decode_files(read_content(kept) if read_content else kept)
     log = hash_files(texts).withColumns({"status": F.lit(NEW), "known": F.lit(False)})
-    index.write_files(version, log)
-    index.write_snippets(version, options.snippets(texts, embedder))
-    written = index.file_log(version)
-    meta = {"model_name": embedder.name, "source_directory": source}
-    index = index.commit((version,), written.count(), meta)
-    return IndexChange(index, build_summary(written, index.generation_snippets(version)))
+    index.write_files(generation, log)
+    index.write_snippets(generation, options.snippets(texts, embedder))
+    written = index.file_log(generation)
+    # where streams have got to outlives a full build
+    marks = {k: v for k, v in index.meta.items() if k.startswith(STREAM_MARK)}
+    meta = {**marks, "model_name": embedder.name, "source_directory": source}
+    index = index.commit((generation,), written.count(), meta)
+    return IndexChange(index, build_summary(written, index.generation_snippets(generation)))

@@ -5,6 +5,10 @@ files, once, and keeps their texts and hashes; from these it writes the file log
 generation. From there on the classification is fixed, whatever is recomputed later. Phase 3
 extracts and embeds the kept texts of new and changed files. The commit makes all of it
 visible at once.
+
+What phase 2 costs: the scan of contents skips row groups outside the range of paths and mtimes
+that differ, and where at most ``PATH_LITERALS`` paths do, the paths themselves go to the reader.
+Many scattered changes in a table without order read all of its contents.
 """
 
 from __future__ import annotations
@@ -15,9 +19,11 @@ from pyspark.sql import types as T
 
 from ..operators.changes import (
     broadcast_within,
+    compare_files,
     file_status,
     join_bytes,
     newest_per_key,
+    same_mtime,
     update_summary,
 )
 from ..operators.embed import Embedder, embedder_named
@@ -26,8 +32,7 @@ from ..sources.index import SnippetIndex, compact_index, open_index
 from ..sources.tables import decode_files, hash_files
 from .build import IndexChange, IndexOptions, Reader
 
-MAX_GENERATIONS = 24
-MAX_LOGGED_SHARE = 0.25
+PATH_LITERALS = 500
 
 _ORDERED = ["file_path", "mtime"]
 _TEXTS = T.StructType(
@@ -44,14 +49,6 @@ def _embedder_of(index: SnippetIndex, embedder: Embedder | None) -> Embedder:
     return embedder
 
 
-def _known(index: SnippetIndex) -> DataFrame:
-    return index.manifest().select(
-        "file_path",
-        F.col("mtime").alias("known_mtime"),
-        F.col("content_hash").alias("known_hash"),
-    )
-
-
 def update_index(
     spark: SparkSession,
     path: str,
@@ -69,8 +66,8 @@ def update_index(
     embedder = _embedder_of(index, embedder)
     kept = options.keep(files)
     listed = kept.select("file_path", "language", "mtime")
-    both = listed.join(_known(index), "file_path", "full")
-    differs = both.where(~F.equal_null("mtime", "known_mtime"))
+    both = compare_files(listed, index.manifest())
+    differs = both.where(~same_mtime())
     return _apply(index, differs, kept, read_content, embedder, options, index.meta)
 
 
@@ -84,33 +81,50 @@ def apply_changes(
 ) -> IndexChange:
     """Apply rows (file_path, content, mtime, size, deleted) about single files.
 
-    The newest row of a path counts; files not mentioned stay as they are. ``marks`` are
-    added to the stored meta values.
+    A null ``deleted`` is false. Of several rows of a path the one with the latest mtime counts,
+    and of equal mtimes a deletion; a deletion without mtime counts as later than all others of
+    its batch, any other row without one as earlier. The same rule holds against what the index
+    knows, so the order of batches does not matter where rows have mtimes: rows older than the
+    known state, or than a deletion on record, change nothing. Files not mentioned stay as they
+    are; a known file whose newest row the filters no longer let through is removed. ``marks``
+    are added to the stored meta values.
     """
     index = open_index(spark, path)
     embedder = _embedder_of(index, embedder)
-    folder = f"{_staging(index)}/changes"
-    newest_per_key(changes, "file_path", "mtime").write.mode("overwrite").parquet(folder)
-    newest = spark.read.schema(changes.schema).parquet(folder)
+    folder = f"{index.staging()}/changes"
+    deleted = F.coalesce("deleted", F.lit(False))
+    # contents that no row of this path can bring into the index need not be shuffled
+    usable = options.takes_path(F.col("file_path")) & ~deleted
+    rows = changes.withColumns({"deleted": deleted, "content": F.when(usable, F.col("content"))})
+    rows = rows.withColumn("usable", usable).withColumn("turn", _turn())
+    newest_per_key(rows, "file_path", "turn").drop("turn").write.parquet(folder)
+    newest = spark.read.parquet(folder)
     size = newest.agg(join_bytes(F.col("file_path"))).first()[0]
-    gone = newest.where("deleted").select(
-        "file_path",
-        F.lit(None).cast("string").alias("language"),
-        F.lit(None).cast("double").alias("mtime"),
+    touched = broadcast_within(newest.select("file_path"), size)
+    only = lambda known: known.join(touched, "file_path", "left_semi")
+    before = only(index.removals()).select("file_path", F.col("mtime").alias("removed_mtime"))
+    newest = newest.join(before, "file_path", "left").where(
+        F.coalesce(F.col("mtime") > F.col("removed_mtime"), F.lit(True))
     )
-    kept = options.keep(newest.where("NOT deleted"))
-    listed = kept.select("file_path", "language", "mtime").unionByName(gone)
-    touched = broadcast_within(listed.select("file_path"), size)
-    known = _known(index).join(touched, "file_path", "left_semi")
-    both = listed.join(known, "file_path", "left")
-    differs = both.where(~F.equal_null("mtime", "known_mtime"))
+    kept = options.keep(newest.where("usable"))
+    times = newest.select("file_path", F.col("mtime").alias("row_mtime"))
+    listed = kept.select("file_path", "language", "mtime")
+    both = compare_files(listed, only(index.manifest())).join(times, "file_path")
+    late = F.coalesce(F.col("row_mtime") < F.col("known_mtime"), F.lit(False))
+    differs = both.where((F.col("present") | F.col("known")) & ~same_mtime() & ~late)
+    # a removal is put on record under the time of its row
+    differs = differs.withColumn("mtime", F.col("row_mtime")).drop("row_mtime")
+    unknown = newest.where("deleted").join(both.where("known"), "file_path", "left_anti")
+    gone = unknown.select("file_path", "mtime").withColumns({"present": F.lit(False), "known": F.lit(False)})
+    differs = differs.unionByName(gone, allowMissingColumns=True)
     meta = {**index.meta, **(marks or {})}
     return _apply(index, differs, kept, None, embedder, options, meta)
 
 
-def _staging(index: SnippetIndex) -> str:
-    """Working tables of the update in progress; the next one overwrites them."""
-    return f"{index.path}/staged"
+def _turn():
+    """What orders the rows of one path: mtime, then deletions last, then the content."""
+    time = F.coalesce("mtime", F.when(F.col("deleted"), float("inf")).otherwise(float("-inf")))
+    return F.struct(time, F.col("deleted"), F.xxhash64("content"))
 
 
 def _apply(
@@ -122,12 +136,14 @@ def _apply(
     options: IndexOptions,
     meta: dict[str, str],
 ) -> IndexChange:
-    spark, version, staging = index.spark, index.version + 1, _staging(index)
-    differs.write.mode("overwrite").parquet(f"{staging}/files")
+    spark, generation, staging = index.spark, index.new_generation(), index.staging()
+    differs.write.parquet(f"{staging}/files")
     staged = spark.read.schema(differs.schema).parquet(f"{staging}/files")
-    present = F.col("mtime").isNotNull()
+    present = F.col("present")
     found = staged.agg(
         join_bytes(F.col("file_path")).alias("size"),
+        F.count_if(present).alias("present"),
+        F.count_if(present & F.col("mtime").isNull()).alias("untimed"),
         *[F.min(F.when(present, F.col(c))).alias(f"low_{c}") for c in _ORDERED],
         *[F.max(F.when(present, F.col(c))).alias(f"high_{c}") for c in _ORDERED],
     ).first()
@@ -136,42 +152,42 @@ def _apply(
     if read_content is not None:
         contents = read_content(wanted)
     else:
-        for c in _ORDERED:  # lets the scan skip row groups, whole ones when only the latest changed
+        # lets the scan skip row groups, whole ones when only the latest changed
+        for c in _ORDERED if not found["untimed"] else _ORDERED[:1]:
             kept = kept.where(F.col(c).between(F.lit(found[f"low_{c}"]), F.lit(found[f"high_{c}"])))
+        if found["present"] <= PATH_LITERALS:  # a filter on top: the join below decides
+            kept = kept.where(F.col("file_path").isin([r[0] for r in wanted.select("file_path").collect()]))
         wanted = broadcast_within(wanted.select("file_path"), found["size"])
         contents = kept.join(wanted, "file_path", "left_semi")
     texts = hash_files(decode_files(contents)).select(*_TEXTS.names)
     # few rows out of many input partitions: even them out before they become files
-    texts.hint("rebalance").write.mode("overwrite").parquet(f"{staging}/texts")
+    texts.hint("rebalance").write.parquet(f"{staging}/texts")
     texts = spark.read.schema(_TEXTS).parquet(f"{staging}/texts")
 
-    known = F.col("known_mtime").isNotNull()
-    status = F.when(~present, F.lit(REMOVED)).otherwise(
-        file_status(known, F.lit(False), F.col("content_hash"), F.col("known_hash"))
-    )
     log = staged.join(texts.select("file_path", "content_hash"), "file_path", "left")
-    index.write_files(version, log.withColumns({"status": status, "known": known}))
+    index.write_files(generation, log.withColumn("status", file_status()))
 
-    log = index.file_log(version)
+    later = SnippetIndex(spark, index.path, index.version, (*index.generations, generation))
+    log = later.file_log(generation)
     changed = log.where(F.col("status").isin(NEW, CHANGED)).select("file_path")
     changed = texts.join(broadcast_within(changed, found["size"]), "file_path", "left_semi")
-    index.write_snippets(version, options.snippets(changed, embedder))
+    index.write_snippets(generation, options.snippets(changed, embedder))
 
     counts = log.groupBy("status", "known").count().collect()
     tally = {(r["status"], r["known"]): r["count"] for r in counts}
     added, changes = tally.get((NEW, False), 0), tally.get((CHANGED, True), 0)
     removed, skipped = tally.get((REMOVED, True), 0), tally.get((SKIPPED, True), 0)
     updated = index.commit(
-        (*index.generations, version),
+        later.generations,
         index.files + added - removed,
         meta,
         index.logged + sum(tally.values()),
         index.logged_bytes + found["size"],
     )
     unchanged = F.lit(index.files - changes - removed - skipped).cast("long")
-    summary = update_summary(log, updated.generation_snippets(version))
+    summary = update_summary(log.where((F.col("status") != REMOVED) | F.col("known")), updated.generation_snippets(generation))
     summary = summary.withColumn("unchanged", unchanged)
-    crowded = len(updated.generations) > MAX_GENERATIONS
-    if crowded or updated.logged > MAX_LOGGED_SHARE * max(updated.files, 1):
+    crowded = len(updated.generations) > options.max_generations
+    if crowded or updated.logged > options.max_logged_share * max(updated.files, 1):
         updated = compact_index(spark, index.path)
     return IndexChange(updated, summary)

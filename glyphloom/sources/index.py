@@ -1,39 +1,42 @@
-"""The stored index: two append-only parquet tables and a commit row per version.
+"""The stored index: two append-only parquet tables and a small commit file per version.
 
-    <path>/snippets/generation=N   snippets and vectors that version N extracted
-    <path>/files/generation=N      status, mtime and hash of the files version N touched
-    <path>/commits/version=N       one row; a version exists once its commit is written
+    <path>/snippets/generation=G   snippets and vectors that one version extracted
+    <path>/files/generation=G      status, mtime and hash of the files that version touched
+    <path>/commits/N               the generations of version N; it exists once this file does
+    <path>/staged/S                working tables of one attempt
+
+Every attempt writes under names of its own (version and a random part). The commit file names
+them and appears by one rename that never overwrites: of two writers that started from the same
+version one commits, the other gets ConcurrentWriteError and leaves folders that no commit names.
+Leftovers of lost attempts are never read and never in the way; ``vacuum`` removes them together
+with versions that are no longer wanted.
 
 A full build starts over with one generation. An update only appends what changed, so its
 cost follows the change and not the corpus. Readers leave out snippets of files that a later
-generation changed or removed, by an anti-join against the later file logs. The commit row
+generation changed or removed, by an anti-join against the later file logs. The commit
 holds the size of those logs, which decides whether they are broadcast. Compaction folds the
 generations into one.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import broadcast_within, newest_per_key
-from ..schema import CHANGED, FILE_LOG, NEW, REMOVED, SNIPPETS, STORED_SNIPPETS, TOUCHED
+from ..operators.changes import broadcast_within, upsert
+from ..schema import CHANGED, FILE_LOG, NEW, REMOVED, SKIPPED, SNIPPETS, STORED_SNIPPETS
+from . import folders
+
+_GENERATION = T.StructField("generation", T.StringType())
 
-_COMMIT = T.StructType(
-    [
-        T.StructField("version", T.IntegerType()),
-        T.StructField("generations", T.ArrayType(T.IntegerType())),
-        T.StructField("files", T.LongType()),
-        T.StructField("logged", T.LongType()),
-        T.StructField("logged_bytes", T.LongType()),
-        T.StructField("meta", T.MapType(T.StringType(), T.StringType())),
-    ]
-)
-_GENERATION = T.StructField("generation", T.IntegerType())
+
+class ConcurrentWriteError(RuntimeError):
+    """Another writer has committed the version that this one was about to commit."""
 
 
 @dataclass(frozen=True)
@@ -43,25 +46,29 @@ class SnippetIndex:
     spark: SparkSession
     path: str
     version: int = 0
-    generations: tuple[int, ...] = ()
+    generations: tuple[str, ...] = ()
     files: int = 0  # files in the manifest
     logged: int = 0  # rows logged since the last full build or compaction
     logged_bytes: int = 0  # and the bytes they take as a join side
     meta: dict[str, str] = field(default_factory=dict)
 
-    def _read(self, table: str, generations: tuple[int, ...], schema: T.StructType) -> DataFrame:
+    def _read(self, table: str, generations: tuple[str, ...], schema: T.StructType) -> DataFrame:
+        """Rows of some generations; ``generation`` becomes their place among all of them."""
         schema = T.StructType([*schema.fields, _GENERATION])
         if not generations:
-            return self.spark.createDataFrame([], schema)
-        base = f"{self.path}/{table}"
-        folders = [f"{base}/generation={g}" for g in generations]
-        return self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
-
-    def file_log(self, generation: int) -> DataFrame:
+            rows = self.spark.createDataFrame([], schema)
+        else:
+            base = f"{self.path}/{table}"
+            paths = [f"{base}/generation={g}" for g in generations]
+            rows = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        names = F.lit(list(self.generations)).cast("array<string>")
+        return rows.withColumn("generation", F.array_position(names, F.col("generation")))
+
+    def file_log(self, generation: str) -> DataFrame:
         """What one generation did to which file."""
         return self._read("files", (generation,), FILE_LOG).drop("generation")
 
-    def generation_snippets(self, generation: int) -> DataFrame:
+    def generation_snippets(self, generation: str) -> DataFrame:
         return self._read("snippets", (generation,), STORED_SNIPPETS).drop("generation")
 
     def stored(self) -> DataFrame:
@@ -87,20 +94,22 @@ class SnippetIndex:
     def vectors(self) -> DataFrame:
         return self.stored().select("id", "embedding")
 
-    def manifest(self) -> DataFrame:
-        """(file_path, mtime, content_hash) of every indexed file."""
-        columns = ["file_path", "mtime", "content_hash"]
-        base = self._read("files", self.generations[:1], FILE_LOG)
-        base = base.where(F.col("status") == NEW).select(*columns)
+    def _states(self) -> DataFrame:
+        """The last thing that happened to each path."""
+        logged = lambda g: self._read("files", g, FILE_LOG).where(F.col("status") != SKIPPED)
+        base = logged(self.generations[:1])
         if len(self.generations) < 2:
             return base
-        later = self._read("files", self.generations[1:], FILE_LOG).where(
-            F.col("status").isin(NEW, CHANGED, TOUCHED, REMOVED)
-        )
-        later = newest_per_key(later, "file_path", "generation")
-        gone = broadcast_within(later.select("file_path"), self.logged_bytes)
-        kept = base.join(gone, "file_path", "left_anti")
-        return kept.unionByName(later.where(F.col("status") != REMOVED).select(*columns))
+        return upsert(base, logged(self.generations[1:]), "file_path", "generation", self.logged_bytes)
+
+    def manifest(self) -> DataFrame:
+        """(file_path, mtime, content_hash) of every indexed file."""
+        kept = self._states().where(F.col("status") != REMOVED)
+        return kept.select("file_path", "mtime", "content_hash")
+
+    def removals(self) -> DataFrame:
+        """(file_path, mtime) of paths that are gone; mtime is that of the deletion, or null."""
+        return self._states().where(F.col("status") == REMOVED).select("file_path", "mtime")
 
     def meta_frame(self) -> DataFrame:
         schema = "key string, value string"
@@ -108,66 +117,69 @@ class SnippetIndex:
 
     # -- writing the next version ------------------------------------------------------
 
-    def write_files(self, generation: int, log: DataFrame) -> None:
-        log.select(*FILE_LOG.names).write.mode("overwrite").parquet(
-            f"{self.path}/files/generation={generation}"
-        )
+    def new_generation(self) -> str:
+        """A name that no other attempt has."""
+        return f"{self.version + 1}-{uuid.uuid4().hex}"
 
-    def write_snippets(self, generation: int, snippets: DataFrame) -> None:
+    def staging(self) -> str:
+        """A folder for the working tables of one attempt."""
+        return f"{self.path}/staged/{uuid.uuid4().hex}"
+
+    def write_files(self, generation: str, log: DataFrame) -> None:
+        log.select(*FILE_LOG.names).write.parquet(f"{self.path}/files/generation={generation}")
+
+    def write_snippets(self, generation: str, snippets: DataFrame) -> None:
         """Rows of one file lie together; bloom filters on id serve point look-ups."""
         (
             snippets.select(*STORED_SNIPPETS.names)
-            .write.mode("overwrite")
-            .option("parquet.bloom.filter.enabled#id", "true")
+            .write.option("parquet.bloom.filter.enabled#id", "true")
             .option("parquet.bloom.filter.expected.ndv#id", "100000")
             .parquet(f"{self.path}/snippets/generation={generation}")
         )
 
     def commit(
         self,
-        generations: tuple[int, ...],
+        generations: tuple[str, ...],
         files: int,
         meta: dict[str, str],
         logged: int = 0,
         logged_bytes: int = 0,
     ) -> SnippetIndex:
+        """Make the next version visible."""
         version = self.version + 1
-        entries = [F.lit(text) for item in meta.items() for text in item]
-        row = self.spark.range(1).select(
-            F.lit(list(generations)).alias("generations"),
-            F.lit(files).alias("files"),
-            F.lit(logged).alias("logged"),
-            F.lit(logged_bytes).alias("logged_bytes"),
-            F.create_map(*entries).alias("meta"),
-        )
-        row.coalesce(1).write.json(f"{self.path}/commits/version={version}")
+        made = {
+            "generations": list(generations),
+            "files": files,
+            "logged": logged,
+            "logged_bytes": logged_bytes,
+            "meta": meta,
+        }
+        try:
+            folders.write_new(self.spark, f"{self.path}/commits/{version}", json.dumps(made))
+        except FileExistsError:
+            raise ConcurrentWriteError(f"version {version} of {self.path} is there already") from None
         return SnippetIndex(
             self.spark, self.path, version, generations, files, logged, logged_bytes, meta
         )
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Committed versions, the newest first."""
+    found = folders.names(spark, f"{path.rstrip('/')}/commits")
+    return sorted((int(n) for n in found if n.isascii() and n.isdigit()), reverse=True)
+
+
+def read_version(spark: SparkSession, path: str, version: int) -> SnippetIndex:
+    path = path.rstrip("/")
+    made = json.loads(folders.read_text(spark, f"{path}/commits/{version}"))
+    made["generations"] = tuple(made["generations"])
+    return SnippetIndex(spark, path, version, **made)
+
+
 def latest_version(spark: SparkSession, path: str) -> SnippetIndex:
     """The newest committed version; version 0 without generations where there is none."""
-    path = path.rstrip("/")
-    try:
-        commits = spark.read.schema(_COMMIT).json(f"{path}/commits")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return SnippetIndex(spark, path)
-    row = commits.orderBy(F.desc("version")).first()
-    if row is None:
-        return SnippetIndex(spark, path)
-    return SnippetIndex(
-        spark,
-        path,
-        row["version"],
-        tuple(row["generations"]),
-        row["files"],
-        row["logged"],
-        row["logged_bytes"],
-        dict(row["meta"] or {}),
-    )
+    found = versions(spark, path)
+    return read_version(spark, path, found[0]) if found else SnippetIndex(spark, path.rstrip("/"))
 
 
 def open_index(spark: SparkSession, path: str) -> SnippetIndex:
@@ -186,11 +198,16 @@ def write_index(
 ) -> SnippetIndex:
     """Full overwrite with given snippets (with vectors), manifest and meta."""
     index = latest_version(spark, path)
-    version = index.version + 1
-    index.write_files(version, manifest.withColumns({"status": F.lit(NEW), "known": F.lit(False)}))
-    index.write_snippets(version, stored)
-    files = index.file_log(version).count()
-    return index.commit((version,), files, meta)
+    log = manifest.withColumns({"status": F.lit(NEW), "known": F.lit(False)})
+    return _write_whole(index, stored, log, meta)
+
+
+def _write_whole(index: SnippetIndex, stored: DataFrame, log: DataFrame, meta: dict[str, str]) -> SnippetIndex:
+    generation = index.new_generation()
+    index.write_files(generation, log)
+    index.write_snippets(generation, stored)
+    files = index.file_log(generation).where(F.col("status") == NEW).count()
+    return index.commit((generation,), files, meta)
 
 
 def compact_index(spark: SparkSession, path: str) -> SnippetIndex:
@@ -198,4 +215,28 @@ def compact_index(spark: SparkSession, path: str) -> SnippetIndex:
     index = open_index(spark, path)
     if len(index.generations) < 2:
         return index
-    return write_index(spark, path, index.stored(), index.manifest(), index.meta)
+    columns = ["file_path", "mtime", "content_hash", "status", "known"]
+    here = index.manifest().withColumns({"status": F.lit(NEW), "known": F.lit(False)})
+    # removals stay on record: a late message must not bring a file back
+    gone = index.removals().withColumns(
+        {"content_hash": F.lit(None).cast("string"), "status": F.lit(REMOVED), "known": F.lit(True)}
+    )
+    log = here.select(*columns).unionByName(gone.select(*columns))
+    return _write_whole(index, index.stored(), log, index.meta)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Remove all but the newest ``keep`` versions, and what lost attempts have left.
+
+    Not to be run while another writer is at work: its folders belong to no version yet.
+    """
+    path = path.rstrip("/")
+    found = versions(spark, path)
+    used = {g for v in found[: max(keep, 1)] for g in read_version(spark, path, v).generations}
+    for version in found[max(keep, 1) :]:
+        folders.remove(spark, f"{path}/commits/{version}")
+    for table in ("snippets", "files"):
+        for name in folders.names(spark, f"{path}/{table}"):
+            if name.removeprefix("generation=") not in used:
+                folders.remove(spark, f"{path}/{table}/{name}")
+    folders.remove(spark, f"{path}/staged")

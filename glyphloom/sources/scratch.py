@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared ``spark.checkpoint.dir``.
+    """A new folder below the cluster's shared checkpoint directory.
 
-    Only a session without that setting (a test on one machine) gets a local folder.
+    That is ``spark.checkpoint.dir``, or what the context was told by setCheckpointDir. Only a
+    session on one machine may do without and gets a local folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if shared:
         return f"{shared.rstrip('/')}/glyphloom-{uuid.uuid4().hex}"
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="glyphloom-")

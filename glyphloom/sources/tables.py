@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.paths import relative_path
 from ..functions.text import content_hash, decode_text
 
 
@@ -15,14 +16,17 @@ def files_from_table(
     content: str = "content",
     mtime: str = "mtime",
     size: str | None = None,
+    root: str | None = None,
 ) -> DataFrame:
     """Canonical ``files`` frame (file_path, content, mtime, size) of a table.
 
     Give ``size`` when the table stores it: listings then never touch the content column.
+    Give ``root`` when paths are absolute: they become relative to it, so that folders above it
+    are not taken for ignored ones.
     """
     length = F.octet_length(F.col(content)) if size is None else F.col(size)
     return table.select(
-        F.col(path).alias("file_path"),
+        relative_path(F.col(path), root).alias("file_path"),
         F.col(content).alias("content"),
         F.col(mtime).cast("double").alias("mtime"),
         length.cast("long").alias("size"),
@@ -37,7 +41,7 @@ def spread_scan(table: DataFrame) -> DataFrame:
     is all large ones, are left as they are.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if 2 * table.rdd.getNumPartitions() <= cores else table
+    return table.repartition(cores) if 2 * len(table.inputFiles()) <= cores else table
 
 
 def decode_files(files: DataFrame) -> DataFrame:

@@ -88,3 +88,29 @@ def test_size(spark):
     files = spark.createDataFrame(rows, "file_path string, size long")
     assert kept(filters.filter_size(files)) == ["a", "b"]
     assert kept(filters.filter_size(files, 0)) == ["a"]
+
+
+@pytest.mark.parametrize(
+    ("path", "root", "below"),
+    [
+        ("./src/a.py", None, "src/a.py"), ("src//a.py", None, "src/a.py"), ("src/./b/././a.py", None, "src/b/a.py"), ("/home/build/x/b.go", "/home/build/x", "b.go"), ("/home/build/x//b.go", "/home/build//x/", "b.go"),
+        ("/other/b.go", "/home", "/other/b.go"), ("/homes/b.go", "/home", "/homes/b.go"), (".hidden/a.py", None, ".hidden/a.py"), ("./x/a.py", "./x", "a.py"), ("/a.py", "/", "a.py"), (None, "/x", None), ("a..b/.c/d", None, "a..b/.c/d"),
+    ],
+)
+def test_relative_path(spark, path, root, below):
+    frame = spark.createDataFrame([(path,)], "p string")
+    assert frame.select(paths.relative_path(F.col("p"), root)).first()[0] == below
+
+
+def test_null_size_drops_nothing_unseen(spark):
+    frame = spark.createDataFrame([("a.py", "x" * 9, None), ("b.py", "x", None), ("c.py", "x", 9)], "file_path string, content string, size long")
+    assert [r[0] for r in filters.filter_size(frame, 5).collect()] == ["b.py"]
+    assert [r[0] for r in filters.filter_size(frame.drop("content"), 5).collect()] == ["a.py", "b.py"]
+
+
+def test_one_condition_equals_the_filters(spark):
+    rows = [(p, 1) for p in ["a.py", "x/a.py", ".git/a.py", "b.go", "lib/c.py", "d.test.py", "e.txt", None]]
+    frame = spark.createDataFrame(rows, "file_path string, size long")
+    given = {"languages": ["python"], "ignore_patterns": ["lib/", "*.test.*"]}
+    kept = filters.indexable_files(frame, **given).select("file_path").collect()
+    assert frame.where(filters.passes_path(F.col("file_path"), **given)).select("file_path").collect() == kept

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators.embed import KeywordEmbedder
 from glyphloom.plans import find as finding
-from glyphloom.plans import update as updating
 from glyphloom.plans.build import IndexOptions, build_index
 from glyphloom.plans.update import apply_changes, update_index
-from glyphloom.sources.index import compact_index, latest_version, open_index
+from glyphloom.sources.index import ConcurrentWriteError, compact_index, latest_version, open_index, read_version, vacuum, versions
 from glyphloom.sources.tables import files_from_table
 from glyphloom.sources.tree import list_tree, read_tree, scan_tree
 from glyphloom.streaming.updates import stream_update
@@ -151,23 +150,60 @@ def test_remove_and_return(spark, files, built):
     assert names(built) == names(second)  # the first version can still be read
 
 
-def test_compaction(spark, files, built, monkeypatch):
-    monkeypatch.setattr(updating, "MAX_LOGGED_SHARE", 100.0)
-    index = update_index(spark, built.path, files(later())).index
-    assert index.generations == (1, 2)
+def test_compaction(spark, files, built):
+    index = update_index(spark, built.path, files(later()), options=IndexOptions(max_logged_share=100.0)).index
+    assert len(index.generations) == 2 and index.generations[:1] == built.generations
     compacted = compact_index(spark, built.path)
     assert len(compacted.generations) == 1 and state(compacted) == state(index)
     assert compact_index(spark, built.path) == compacted
-    monkeypatch.setattr(updating, "MAX_GENERATIONS", 1)
-    index = update_index(spark, built.path, files(START | {"more.py": ("x\n", 1.0)})).index
+    options = IndexOptions(max_generations=1, max_logged_share=100.0)
+    index = update_index(spark, built.path, files(START | {"more.py": ("x\n", 1.0)}), options=options).index
     assert len(index.generations) == 1 and "more.py" in names(index)
 
 
-def test_unfinished_version_is_not_seen(spark, files, built):
-    built.write_files(2, built.file_log(1).where("false"))
-    built.write_snippets(2, built.generation_snippets(1).withColumn("name", F.lit("junk")))
-    assert names(open_index(spark, built.path)) == names(built)
-    assert "junk" not in names(update_index(spark, built.path, files(later())).index)
+def leftovers(spark, index):
+    """What writers leave that were lost at any point: tables, working tables, drafts of a commit."""
+    rows = index.generation_snippets(index.generations[0]).withColumn("name", F.lit("junk"))
+    for name in ("2-lost", "9-lost"):
+        index.write_files(name, index.file_log(index.generations[0]))
+        index.write_snippets(name, rows)
+    rows.write.parquet(f"{index.staging()}/texts")
+    for name in ("_draft-1", "2.tmp"):
+        with open(f"{index.path}/commits/{name}", "w") as f:
+            f.write('{"generations"')
+    os.makedirs(f"{index.path}/commits/version=2/_temporary")
+
+
+def test_lost_attempts_are_neither_seen_nor_in_the_way(spark, files, built):
+    leftovers(spark, built)
+    assert state(open_index(spark, built.path)) == state(built)
+    index = update_index(spark, built.path, files(later())).index
+    assert "junk" not in names(index) and index.version > 1
+    vacuum(spark, built.path)
+    assert state(open_index(spark, built.path)) == state(index)
+    assert not os.path.exists(f"{built.path}/staged")
+    assert {n.removeprefix("generation=") for n in os.listdir(f"{built.path}/files")} == set(index.generations)
+    assert versions(spark, built.path) == [index.version]
+
+
+def test_vacuum_keeps_versions(spark, files, built):
+    index = update_index(spark, built.path, files(START | {"more.py": ("x\n", 1.0)})).index
+    vacuum(spark, built.path, keep=2)
+    assert state(read_version(spark, built.path, 1)) == state(built) and index.version == 2
+
+
+def test_of_two_writers_one_commits(spark, files, built, tmp_path):
+    other = open_index(spark, built.path)
+    index = update_index(spark, built.path, files(later())).index
+    after = state(index)
+    # the other one started from version 1 as well
+    generation = other.new_generation()
+    other.write_files(generation, other.file_log(other.generations[0]))
+    other.write_snippets(generation, other.generation_snippets(other.generations[0]).where("false"))
+    with pytest.raises(ConcurrentWriteError):
+        other.commit((generation,), 0, {})
+    assert state(open_index(spark, built.path)) == after
+    assert update_index(spark, built.path, files(later())).summary.first()["unchanged"] == index.files - 1
 
 
 def test_find_and_show(spark, built):
@@ -207,11 +243,60 @@ def test_apply_changes(spark, built):
     assert change.summary.first().asDict() == {"added": 1, "changed": 1, "removed": 1, "unchanged": 2, "snippets_indexed": 2}
 
 
+def changed(spark, path, *rows, options=IndexOptions()):
+    full = [(p, None if c is None else bytearray(c), m, None if c is None else len(c), d) for p, c, m, d in rows]
+    return apply_changes(spark, path, spark.createDataFrame(full, CHANGES), options=options).index
+
+
+def test_no_change_is_lost(spark, built):
+    index = changed(
+        spark, built.path,
+        ("db.py", None, None, True),  # a deletion without mtime is the last word of its batch
+        ("db.py", b"late = 1\n", 9.0, False),
+        ("net.go", b"a\nb\nc\n", 3.0, False),
+        ("net.go", None, 3.0, True),  # of equal mtimes the deletion counts
+        ("sort.py", b"def fresh(): pass\n", 2.0, None),  # null is not deleted
+        ("timeless.py", b"def timeless(): pass\n", None, False),
+    )
+    assert names(index) == ["fresh", "timeless"]
+    assert changed(spark, built.path, ("timeless.py", b"def again(): pass\n", None, False)).files == 3
+    assert "again" in names(open_index(spark, built.path))
+
+
+def test_a_file_that_no_longer_passes_is_removed(spark, built):
+    small = IndexOptions(max_bytes=20, ignore_patterns=["net*"])
+    index = changed(spark, built.path, ("sort.py", b"def sorter(): pass  # much longer now\n", 2.0, False), ("net.go", b"x\n", 2.0, False), options=small)
+    assert names(index) == ["Database", "Database.query"] and index.files == 2
+
+
+def test_older_rows_of_later_batches_change_nothing(spark, built):
+    first = changed(spark, built.path, ("sort.py", b"def new(): pass\n", 5.0, False), ("net.go", None, 5.0, True))
+    for compacted in (False, True):
+        if compacted:
+            compact_index(spark, built.path)
+        later = changed(
+            spark, built.path,
+            ("sort.py", b"def old(): pass\n", 4.0, False), ("sort.py", None, 3.0, True), ("net.go", b"x\n", 4.0, False), ("gone.py", None, 6.0, True), ("gone.py", b"x\n", 5.0, False),
+        )
+        assert state(later) == state(first)
+    assert "back.go" not in names(changed(spark, built.path, ("gone.py", b"def gone(): pass\n", 5.5, False)))
+    back = changed(spark, built.path, ("net.go", b"n\nn\nn\n", 7.0, False), ("gone.py", b"def gone(): pass\n", 7.0, False))
+    assert names(back) == ["Database", "Database.query", "gone", "net.go", "new"]
+
+
+def test_files_without_mtime_are_updated(spark, files, built):
+    after = {"sort.py": ("def one(): pass\n", None), "new.py": ("def two(): pass\n", None)}
+    assert names(update_index(spark, built.path, files(after)).index) == ["one", "two"]
+    after["new.py"] = ("def three(): pass\n", None)
+    change = update_index(spark, built.path, files(after))
+    assert names(change.index) == ["one", "three"] and change.summary.first()["unchanged"] == 1
+
+
 def test_stream_in_several_batches(spark, files, built, tmp_path):
     def feed(number, rows):
         spark.createDataFrame(rows, CHANGES).coalesce(1).write.mode("append").parquet(str(tmp_path / "feed" / f"n={number}"))
 
-    def run(checkpoint):
+    def run(checkpoint, name=None):
         stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "feed/*"))
         stream_update(stream, built.path, str(tmp_path / checkpoint)).awaitTermination()
         return open_index(spark, built.path)
