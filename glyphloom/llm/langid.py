@@ -7,8 +7,8 @@ highest sum; its score is that language's share after the sums are scaled by the
 of words, so that long texts do not all score 1.
 
 Training reads a bounded sample: about ``SAMPLE`` labelled texts per language, drawn by hash, whole.
-The tables hold at most ``MAX_ENTRIES`` words and n-grams, the most frequent; the rarer ones back
-off. So the model has a fixed bound, whatever the corpus, and travels as a broadcast.
+The tables hold at most ``MAX_ENTRIES`` words and n-grams, those above a count that fits; the rarer
+words back off. So the model has a fixed bound, whatever the corpus, and travels as a broadcast.
 
 Defined results: a null text and one without letters give ``und`` and score 0, as does any text
 where there is nothing to train on; ties go to the first language in order of name; a null doc_id
@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_folder
 from .batches import made_columns
 
 #: Expected number of labelled texts per language that are trained on.
 SAMPLE = 5_000
 #: Most words, and most n-grams, that the model holds over all languages.
-MAX_ENTRIES = 250_000
+MAX_ENTRIES = 120_000
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,29 +92,41 @@ def fit(sample: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "gram", "n"])
 
     shape = "lang string, gram string, n long"
-    add = lambda rows: rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    words = add(sample.select("lang", "text").mapInArrow(count_words, shape))
-    # a word seen in training always has its own row in the counts; n-grams come from all of them
-    letters = add(words.mapInArrow(count_grams, shape))
-    langs, tables = [], []
-    for counted in (words, letters):
-        top = counted.groupBy("gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        rows = top.orderBy(F.desc("total"), "gram").limit(max_entries).collect()
-        tables.append(rows)
-        langs = sorted({x["lang"] for r in rows for x in r["by"]} | set(langs))
+    folder = scratch_folder(spark)
+
+    def added_up(rows: DataFrame, name: str) -> DataFrame:
+        rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    words = added_up(sample.select("lang", "text").mapInArrow(count_words, shape), "words")
+    # n-grams are those of all words, also of words too rare for a row of their own
+    letters = added_up(words.mapInArrow(count_grams, shape), "grams")
+    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     at = {x: i for i, x in enumerate(langs)}
     found = []
-    for rows in tables:
-        counts = np.zeros((len(rows), len(langs)))
-        for i, r in enumerate(rows):
-            for x in r["by"]:
-                counts[i, at[x["lang"]]] = x["n"]
-        logs = np.log(counts + 0.5) - np.log(counts.sum(0, keepdims=True) + 0.5 * len(rows) + 1) if len(rows) else counts
-        found.append(({r["gram"]: i for i, r in enumerate(rows)}, logs.astype(np.float32)))
-    del spark
+    for counted in (words, letters):
+        table = _frequent(counted, max_entries).toArrow()
+        places: dict[str, int] = {}
+        rows = np.fromiter((places.setdefault(g, len(places)) for g in table.column("gram").to_pylist()), np.int64, len(table))
+        counts = np.zeros((len(places), len(langs)))
+        counts[rows, [at[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
+        logs = np.log(counts + 0.5) - np.log(counts.sum(0, keepdims=True) + 0.5 * len(places) + 1) if len(places) else counts
+        found.append((places, logs.astype(np.float32)))
     return Model(langs, *found[0], *found[1])
 
 
+def _frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows of at most ``most`` words or n-grams: all whose total count is above a threshold."""
+    totals = counted.groupBy("gram").agg(F.sum("n").alias("total"))
+    least, room = 1, most
+    for r in sorted(totals.groupBy("total").count().collect(), reverse=True):  # far fewer than tokens
+        room -= r["count"]
+        if room < 0:
+            least = r["total"] + 1
+            break
+    return counted.join(totals.where(F.col("total") >= least).select("gram"), "gram").select("gram", "lang", "n")
+
+
 def predict(model: Model, text: str | None, memo: dict[str, np.ndarray | None]) -> tuple[str, float]:
     """Language and score of one whole text. ``memo`` keeps the scores of unseen words."""
     found = tokens(text)

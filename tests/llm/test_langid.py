@@ -32,6 +32,12 @@ def test_trains_on_all_that_is_not_held_out(judged):
     assert set(model.words) == words
 
 
+def test_entries_are_bounded(documents):
+    frame = documents((1, "aa aa aa bb bb cc dd", "x"), (3, "aa bb ee", "y")).select("lang", "text")
+    assert set(langid.fit(frame, 2).words) == {"aa", "bb"} and set(langid.fit(frame, 3).words) == {"aa", "bb"}
+    assert len(langid.fit(frame, 5).words) == 5 and len(langid.fit(frame, 1).grams) <= 1
+
+
 def test_unseen_words_back_off(judged):
     model, _ = judged
     word = next(w for w in model.words if len(w) > 4) + "qqq"
