@@ -245,6 +245,8 @@ _PROSE_INDEX = f"WITH {PROSE_SNIPPETS} " + _indexed("prose_snippets", "prose")
 ORACLES: dict[str, str] = {
     "files_table": f"""WITH {PROSE} SELECT file_path, mtime, CAST(strlen(content) AS BIGINT) AS size,
   sha256(content) AS content_hash FROM prose""",
+    "files_table_relative": f"""WITH {PROSE} SELECT file_path, language, sha256(content) AS content_hash
+FROM prose WHERE strlen(content) <= 2000""",
     "tree_scan": f"""WITH {CODE}, {PATHS}
 SELECT file_path, CAST(strlen(content) AS BIGINT) AS size, language, sha256(content) AS content_hash
 FROM code WHERE language <> 'typescript'
@@ -323,6 +325,9 @@ FROM embeddings JOIN centres ON label = query_id""",
   round(list_cosine_similarity(a.centre, b.centre), 6) AS score FROM centres a, centres b''')}""",
     "vector_dim": "SELECT count(*) AS vectors, CAST(max(len(embedding)) AS INT) AS dimension FROM embeddings",
     "embed_keyword": f"SELECT doc_id, {_vector_text('text')} AS vector FROM documents",
+    "embed_batched": """SELECT doc_id, concat_ws(',', 100 * (length(text) % 97),
+  100 * (length(text) - length(replace(text, 'e', ''))) % 8900, 100 * (length(text) - length(replace(text, chr(10), ''))) % 700) AS vector
+FROM documents""",
     "embed_snippets": f"WITH {CODE_SNIPPETS} SELECT id, {_vector_text(_EMBEDDED)} AS vector FROM code_snippets",
     "index_roundtrip": _PROSE_INDEX,
     "index_count": f"WITH {PROSE_SNIPPETS} SELECT count(*) AS snippets FROM prose_snippets",
@@ -339,6 +344,11 @@ files AS (SELECT file_path, content, mtime FROM prose UNION ALL
 SELECT 2 * (SELECT count(*) FROM documents) AS files_scanned,
   (SELECT count(*) FROM code_snippets) + (SELECT count(*) FROM prose_snippets) AS snippets_indexed""",
     "update_index_rows": f"WITH {UPDATED} " + _indexed("final_snippets", "final"),
+    "index_versions": f"""WITH {UPDATED},
+before AS (SELECT file_path, language, content, mtime FROM snaps WHERE in_old), {_blocks('before', 'o')},
+before_snippets AS (SELECT {_id()} AS id, * FROM oblocks)
+SELECT 1 AS version, * FROM ({_indexed("before_snippets", "before")})
+UNION ALL SELECT 2, * FROM ({_indexed("final_snippets", "final")})""",
     "update_summary": f"""WITH {UPDATED}, status AS (SELECT file_path, {_STATUS} AS status FROM snaps WHERE in_new)
 SELECT count(*) FILTER (status = 'NEW') AS added, count(*) FILTER (status = 'CHANGED') AS changed,
   (SELECT count(*) FROM snaps WHERE in_old AND NOT in_new) AS removed,
@@ -346,6 +356,15 @@ SELECT count(*) FILTER (status = 'NEW') AS added, count(*) FILTER (status = 'CHA
   (SELECT count(*) FROM final_snippets JOIN status s USING (file_path) WHERE s.status IN ('NEW', 'CHANGED')) AS snippets_indexed
 FROM status""",
     "stream_update_rows": f"WITH {UPDATED} " + _indexed("final_snippets", "final"),
+    "stream_excluded_rows": f"""WITH {PROSE},
+final AS (
+  SELECT file_path, language, CASE doc_id % 5 WHEN 3 THEN mtime + 2 ELSE mtime END AS mtime,
+    content || CASE doc_id % 5 WHEN 3 THEN {_text(chr(10) * 2 + 'now' + chr(10) + 'with' + chr(10) + 'more')} ELSE '' END AS content
+  FROM prose WHERE doc_id % 5 >= 3),
+{_blocks('final', 'f')},
+final_snippets AS (SELECT {_id()} AS id, * FROM fblocks)
+"""
+    + _indexed("final_snippets", "final"),
     "find": f"""WITH {FIND}
 SELECT query_id, rank, id, score, file_path, start_line,
   {_header('rank', 'score')} AS header, {_preview('content')} AS preview

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..operators import blocks, changes, embed, extract, filters, present, searc
 from ..plans import find as finding
 from ..plans.build import IndexChange, build_index
 from ..plans.update import update_index
-from ..sources.index import SnippetIndex, open_index, write_index
+from ..sources.index import SnippetIndex, open_index, read_version, write_index
 from ..sources.scratch import scratch_folder
 from ..sources.tables import decode_files, files_from_table, hash_files
 from ..sources.tree import mounted_path, scan_tree
@@ -83,6 +84,23 @@ def files_table(spark, folder):
     return hash_files(files).select("file_path", "mtime", "size", "content_hash")
 
 
+@query
+def files_table_relative(spark, folder):
+    """Paths written in several ways below a folder, some without a size."""
+    root = "/data/build/corpus"
+    turn = F.col("doc_id") % 4
+    path = (
+        F.when(turn == 0, F.concat(F.lit(root + "/"), "file_path"))
+        .when(turn == 1, F.concat(F.lit("./"), "file_path"))
+        .when(turn == 2, F.concat(F.lit(root + "//./"), F.replace("file_path", F.lit("/"), F.lit("//"))))
+        .otherwise(F.col("file_path"))
+    )
+    rows = _prose(spark, folder).withColumns({"path": path, "bytes": F.when(turn != 1, F.octet_length("content"))})
+    files = files_from_table(rows, path="path", size="bytes", root=root)
+    kept = hash_files(filters.indexable_files(files, max_bytes=2000))
+    return kept.select("file_path", "language", "content_hash")
+
+
 @query
 def tree_scan(spark, folder):
     root = f"{scratch_folder(spark)}/tree"
@@ -373,6 +391,19 @@ def embed_keyword(spark, folder):
     return docs.select("doc_id", _vector_text(F.col("embedding")).alias("vector"))
 
 
+def _letters(texts):
+    """Length and counts of two letters, as a model that a worker loads."""
+    return np.array([[len(t) % 97, t.count("e") % 89, t.count("\n") % 7] for t in texts], dtype=np.float32)
+
+
+@query
+def embed_batched(spark, folder):
+    """Embedding in Arrow batches, with a model of its own in each Python worker."""
+    model = embed.ModelEmbedder("letters", load=lambda: _letters)
+    docs = embed.embed(C.table(spark, folder, "documents"), "text", model)
+    return docs.select("doc_id", _vector_text(F.col("embedding")).alias("vector"))
+
+
 @query
 def embed_snippets(spark, folder):
     rows = embed.embed_snippets(_code_snippets(spark, folder), _embedder())
@@ -424,6 +455,15 @@ def update_index_rows(spark, folder):
     return _rows(_updated(spark, folder).index)
 
 
+@query
+def index_versions(spark, folder):
+    """Both versions of an updated index, read side by side."""
+    updated = _updated(spark, folder).index
+    before = read_version(spark, updated.path, 1)
+    rows = [_rows(x).select(F.lit(n).alias("version"), "*") for n, x in ((1, before), (2, updated))]
+    return rows[0].unionByName(rows[1])
+
+
 @query
 def update_summary(spark, folder):
     return _updated(spark, folder).summary
@@ -445,6 +485,28 @@ def stream_update_rows(spark, folder):
     return _rows(open_index(spark, f"{home}/index"))
 
 
+@query
+def stream_excluded_rows(spark, folder):
+    """A feed of files that grow past the size limit, of deletions without mtime and at the known
+    one, of rows that do not say whether they are deleted, and of late rows in a second batch."""
+    files = _prose(spark, folder).select("doc_id", "file_path", "content", "mtime")
+    home, turn = scratch_folder(spark), F.col("doc_id") % 5
+    build_index(spark, f"{home}/index", files_from_table(files), _embedder())
+    size = F.when(turn == 0, F.lit(5_000_000)).otherwise(F.octet_length("content")).cast("long")
+    deleted = F.when(turn.isin(1, 2), F.lit(True)).when(turn == 0, F.lit(False))
+    mtime = F.when(turn == 0, F.col("mtime") + 1).when(turn == 2, F.col("mtime")).when(turn == 3, F.col("mtime") + 2)
+    content = F.when(turn == 3, F.concat("content", F.lit("\n\nnow\nwith\nmore"))).otherwise(F.col("content"))
+    columns = {"content": content, "size": size, "deleted": deleted, "mtime": mtime}
+    first = files.where(turn < 4).withColumns(columns).drop("doc_id")
+    late = {"content": F.lit("late\n\n"), "size": F.lit(6).cast("long"), "deleted": turn == 4, "mtime": F.col("mtime") + F.when(turn == 3, 1).otherwise(-1)}
+    second = files.where(turn >= 2).where(turn != 2).withColumns(late).drop("doc_id")
+    for number, rows in enumerate((first, second)):
+        rows.write.parquet(f"{home}/feed-{number}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{home}/feed-{number}")
+        stream_update(stream, f"{home}/index", f"{home}/stream-{number}").awaitTermination()
+    return _rows(open_index(spark, f"{home}/index"))
+
+
 @query
 def find(spark, folder):
     queries = C.table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")

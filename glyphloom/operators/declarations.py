@@ -37,26 +37,21 @@ _PARSED_DDL = (
     "content:string>>, leftover string"
 )
 
-# Names that are control flow rather than declarations, and the shapes of
-# declarations; every shape starts at a line start and ends at its opening brace.
+# Names that are control flow rather than declarations, and how declarations begin,
+# always at a line start. What follows up to the opening brace is looked up, see _Ahead.
 CONTROL_WORDS = frozenset("if for while switch catch do else try with function".split())
 NAME = r"[A-Za-z_$][\w$]*"
-JS_CLASS = (
-    rf"^[ \t]*(?:export\s+)?(?:default\s+)?class\s+(?P<name>{NAME})[^{{]*\{{"
-)
+JS_CLASS = rf"^[ \t]*(?:export\s+)?(?:default\s+)?class\s+(?P<name>{NAME})"
 JS_FUNCTION = (
     r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*"
-    rf"(?P<name>{NAME})?\s*\([^)]*\)\s*(?::[^{{]+)?\{{"
-)
-JS_ARROW = (
-    rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>{NAME})\s*"
-    r"(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?:=>|:[^=]+=>)\s*\{"
+    rf"(?P<name>{NAME})?\s*\("
 )
+JS_ARROW = rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>{NAME})\s*(?=[:=])"
 JS_METHOD = (
     r"^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*"
-    rf"(?P<name>{NAME})\s*\([^)]*\)\s*(?::[^{{]+)?\{{"
+    rf"(?P<name>{NAME})\s*\("
 )
-DART_CLASS = rf"^[ \t]*(?:abstract\s+)?class\s+(?P<name>{NAME})[^{{;]*\{{"
+DART_CLASS = rf"^[ \t]*(?:abstract\s+)?class\s+(?P<name>{NAME})"
 
 # A Dart callable is "type run, name, (parameters), optional async/sync marker, brace".
 # The run may span lines, so it is looked up from its parenthesis instead of being tried
@@ -86,29 +81,140 @@ Hit = tuple[int, int, str | None]  # start of the match, its opening brace, decl
 Finder = Callable[[str, int, int], Hit | None]
 
 
+class _Braces:
+    """Closing braces of a text, ignoring strings and comments.
+
+    A scan from one brace passes others on its way; it notes their partners too, so that a brace
+    that has been passed is never scanned from again.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.partner: dict[int, int | None] = {}
+
+    def closing(self, opening: int) -> int | None:
+        if opening not in self.partner:
+            open_: list[int] = []
+            for token in _NEXT_TOKEN.finditer(self.text, opening):
+                if not token["brace"]:
+                    continue
+                at = token.end() - 1
+                if token["brace"] == "{":
+                    open_.append(at)
+                    continue
+                self.partner[open_.pop()] = at
+                if not open_:
+                    break
+            self.partner.update(dict.fromkeys(open_))
+        return self.partner[opening]
+
+
 def closing_brace(text: str, opening: int) -> int | None:
     """Index of the brace closing ``text[opening]``, ignoring strings and comments."""
-    depth = 0
-    for token in _NEXT_TOKEN.finditer(text, opening):
-        if token["brace"]:
-            depth += 1 if token["brace"] == "{" else -1
-            if depth == 0:
-                return token.end() - 1
-    return None
+    return _Braces(text).closing(opening)
+
+
+class _Ahead:
+    """The next place of some characters, for places asked in ascending order: one pass in all."""
+
+    def __init__(self, text: str, characters: str) -> None:
+        self.find = re.compile(f"[{re.escape(characters)}]").search
+        self.text, self.asked, self.found = text, -1, -1
+
+    def __call__(self, at: int) -> int:
+        """Index of the first of the characters at or after ``at``; the text's length if none."""
+        if not self.asked <= at <= self.found:
+            m = self.find(self.text, at)
+            self.asked, self.found = at, m.start() if m else len(self.text)
+        return self.found
 
 
 def _spaces(covered: re.Match[str]) -> str:
     return " " * len(covered.group())
 
 
-def _shape(pattern: str) -> Finder:
-    compiled = re.compile(pattern, re.MULTILINE)
+_SPACE = re.compile(r"\s*+")
+_ARROW_VALUE = re.compile(r"=\s*(?:async\s*)?\(")
+Tail = Callable[[str, int, int], int | None]  # text, end of the head, bound -> opening brace
+
+
+def _shape(head: str, tail: Callable[[str], Tail]) -> Callable[[str], Finder]:
+    """Finder of a head at a line start whose tail leads to a brace."""
+    compiled = re.compile(head, re.MULTILINE)
+
+    def of(source: str) -> Finder:
+        opening = tail(source)
+
+        def find(text: str, start: int, end: int) -> Hit | None:
+            at = start
+            while m := compiled.search(text, at, end):
+                brace = opening(text, m.end(), end)
+                if brace is not None and brace < end:
+                    return m.start(), brace, m["name"]
+                at = m.start() + 1
+            return None
+
+        return find
 
-    def find(text: str, start: int, end: int) -> Hit | None:
-        m = compiled.search(text, start, end)
-        return m and (m.start(), m.end() - 1, m["name"])
+    return of
 
-    return find
+
+def _until_brace(stop: str = "{") -> Callable[[str], Tail]:
+    """Anything up to a brace, unless another stop comes first."""
+
+    def tail(source: str) -> Tail:
+        ahead = _Ahead(source, stop)
+
+        def opening(text: str, at: int, end: int) -> int | None:
+            found = ahead(at)
+            return found if found < end and text[found] == "{" else None
+
+        return opening
+
+    return tail
+
+
+def _after_parameters(source: str) -> Tail:
+    """Parameters up to the next parenthesis, perhaps a type after a colon, a brace."""
+    parenthesis, brace = _Ahead(source, ")"), _Ahead(source, "{")
+
+    def opening(text: str, at: int, end: int) -> int | None:
+        closed = parenthesis(at)
+        if closed >= end:
+            return None
+        at = _SPACE.match(text, closed + 1, end).end()
+        if text[at : at + 1] == ":":
+            found = brace(at + 1)
+            return found if found > at + 1 else None
+        return at if text[at : at + 1] == "{" else None
+
+    return opening
+
+
+def _arrow(source: str) -> Tail:
+    """Perhaps a type, an equals sign, parameters, perhaps a type, an arrow, a brace."""
+    equals, parenthesis = _Ahead(source, "="), _Ahead(source, ")")
+
+    def past_type(text: str, at: int, end: int) -> int | None:
+        """From a colon to the next equals sign, with something between."""
+        if text[at : at + 1] != ":":
+            return at
+        found = equals(at + 1)
+        return found if at + 1 < found < end else None
+
+    def opening(text: str, at: int, end: int) -> int | None:
+        at = past_type(text, at, end)
+        value = _ARROW_VALUE.match(text, at, end) if at is not None else None
+        closed = parenthesis(value.end()) if value else end
+        if closed >= end:
+            return None
+        at = past_type(text, _SPACE.match(text, closed + 1, end).end(), end)
+        if at is None or text[at : at + 2] != "=>":
+            return None
+        at = _SPACE.match(text, at + 2, end).end()
+        return at if text[at : at + 1] == "{" else None
+
+    return opening
 
 
 def _dart_callable(text: str, start: int, end: int) -> Hit | None:
@@ -134,22 +240,30 @@ def _dart_callable(text: str, start: int, end: int) -> Hit | None:
     return None
 
 
+def _dart(source: str) -> Finder:
+    return _dart_callable
+
+
 _JS = (
-    (("class", _shape(JS_CLASS)), ("function", _shape(JS_FUNCTION)), ("function", _shape(JS_ARROW))),
-    (("method", _shape(JS_METHOD)),),
+    (
+        ("class", _shape(JS_CLASS, _until_brace())),
+        ("function", _shape(JS_FUNCTION, _after_parameters)),
+        ("function", _shape(JS_ARROW, _arrow)),
+    ),
+    (("method", _shape(JS_METHOD, _after_parameters)),),
 )
 _SHAPES = {
     "javascript": _JS,
     "typescript": _JS,
     "dart": (
-        (("class", _shape(DART_CLASS)), ("function", _dart_callable)),
-        (("method", _dart_callable),),
+        (("class", _shape(DART_CLASS, _until_brace("{;"))), ("function", _dart)),
+        (("method", _dart),),
     ),
 }
 
 
 def _declared(
-    text: str, start: int, end: int, shapes: tuple[tuple[str, Finder], ...]
+    text: str, start: int, end: int, shapes: tuple[tuple[str, Finder], ...], braces: _Braces
 ) -> Iterator[tuple[str, str, int, int, int]]:
     """(kind, name, start, brace, close) of the declarations in text[start:end], in order.
 
@@ -169,7 +283,7 @@ def _declared(
         _, brace, name = upcoming[i]
         close = None
         if name is not None and name not in CONTROL_WORDS:
-            close = closing_brace(text, brace)
+            close = braces.closing(brace)
         if close is None or close > end:
             at = brace + 1
             continue
@@ -179,7 +293,9 @@ def _declared(
 
 def parse_braces(text: str, language: str) -> tuple[list[dict], str]:
     """Declarations of a JS, TS or Dart file, and the text with them blanked out."""
-    top, member = _SHAPES[language]
+    shapes = _SHAPES[language]
+    top, member = ([(kind, make(text)) for kind, make in level] for level in shapes)
+    braces = _Braces(text)
     line_ends = [m.end() for m in _NEWLINE.finditer(text)]
 
     def row(kind: str, name: str, first: int, close: int) -> dict:
@@ -192,10 +308,10 @@ def parse_braces(text: str, language: str) -> tuple[list[dict], str]:
         }
 
     rows, rest, kept = [], [], 0
-    for kind, name, first, brace, close in _declared(text, 0, len(text), top):
+    for kind, name, first, brace, close in _declared(text, 0, len(text), top, braces):
         rows.append(row(kind, name, first, close))
         if kind == "class":
-            for _, method, m_first, _, m_close in _declared(text, brace + 1, close, member):
+            for _, method, m_first, _, m_close in _declared(text, brace + 1, close, member, braces):
                 rows.append(row("method", f"{name}.{method}", m_first, m_close))
         rest += [text[kept:first], _COVERED.sub(_spaces, text[first : close + 1])]
         kept = close + 1

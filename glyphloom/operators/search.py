@@ -1,13 +1,15 @@
 """Exact cosine top-k for batches of queries.
 
 Vectors are never paired with queries row by row. Each Arrow batch of vectors is one matrix
-product with a block of queries and leaves at most k rows per query, so what is shuffled
-for the final ranking depends on k and the number of batches, not on the pairs.
+product with a block of queries. A task keeps its best k rows per query from batch to batch and
+hands them on once, so what is shuffled for the final ranking is at most k rows per query and
+partition.
 
 * Query sets up to ``broadcast_bytes`` are read once and broadcast; the vectors stay where
   they are and are scanned once.
-* Larger sets are never brought to the driver: queries and vectors are hashed into blocks
-  of bounded size and each (query block, vector block) cell is one cogrouped task.
+* Larger sets are never brought to the driver: they are written once, so that queries are
+  embedded once, and queries and vectors are hashed into blocks of bounded size, of which each
+  (query block, vector block) cell is one cogrouped task.
 
 Scores rank by their value rounded to 6 digits, then by id, so that the result does not
 depend on how rows were batched.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import TOP_K
+from ..sources.scratch import scratch_folder
 
 BROADCAST_BYTES = 128 << 20
 CELL_BYTES = 64 << 20
@@ -99,6 +102,15 @@ def _best(query_ids: pa.Array, queries: np.ndarray, ids: pa.Array, vectors: np.n
         )
 
 
+def _best_of(found: list[pa.RecordBatch], k: int) -> list[pa.RecordBatch]:
+    """The k best rows per query of several batches."""
+    table = pa.Table.from_batches(found)
+    table = table.sort_by([("query_id", "ascending"), ("steps", "descending"), ("id", "ascending")])
+    owner = _flat(table["query_id"]).dictionary_encode().indices.to_numpy()
+    first = np.searchsorted(owner, owner, "left")  # codes ascend as the rows are sorted
+    return table.filter(pa.array(np.arange(len(owner)) - first < k)).combine_chunks().to_batches()
+
+
 def _scan(vectors: DataFrame, held: pa.Table, k: int, schema: T.StructType) -> DataFrame:
     """Local winners of every vector batch against the broadcast queries."""
     context = vectors.sparkSession.sparkContext
@@ -108,10 +120,19 @@ def _scan(vectors: DataFrame, held: pa.Table, k: int, schema: T.StructType) -> D
 
     def winners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, queries = shared.value
+        held: list[pa.RecordBatch] = []
+        rows, bound = 0, 4 * k * max(len(query_ids), 1)
         for batch in batches:
             if batch.num_rows:
-                ids, rows = batch.column("id"), _unit_rows(batch.column("embedding"))
-                yield from _best(query_ids, queries, ids, rows, k)
+                ids, unit = batch.column("id"), _unit_rows(batch.column("embedding"))
+                for found in _best(query_ids, queries, ids, unit, k):
+                    held.append(found)
+                    rows += found.num_rows
+                if rows > bound:
+                    held = _best_of(held, k)
+                    rows = sum(x.num_rows for x in held)
+        if held:
+            yield from _best_of(held, k)
 
     return vectors.mapInArrow(winners, schema)
 
@@ -175,6 +196,10 @@ def top_k(
     if k <= 0:
         scored = vectors.sparkSession.createDataFrame([], schema)
     else:
+        # written once: embedding queries may be costly, and they are measured before they are read
+        folder = f"{scratch_folder(queries.sparkSession)}/queries"
+        queries.write.parquet(folder)
+        queries = queries.sparkSession.read.schema(queries.schema).parquet(folder)
         held = _read_bounded(queries, broadcast_bytes)
         if held is None:
             scored = _cells(vectors, queries, k, schema, cell_bytes)
@@ -190,11 +215,7 @@ def _matrix_bytes(df: DataFrame) -> int:
 
 def _read_bounded(queries: DataFrame, max_bytes: int) -> pa.Table | None:
     """The queries as one Arrow table, or None when they take more than ``max_bytes``."""
-    queries = queries.persist()  # embedding them may be costly: once for both steps
-    try:
-        return queries.toArrow() if _matrix_bytes(queries) <= max_bytes else None
-    finally:
-        queries.unpersist()
+    return queries.toArrow() if _matrix_bytes(queries) <= max_bytes else None
 
 
 def rank_hits(scored: DataFrame) -> DataFrame:

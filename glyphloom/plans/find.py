@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import present
+from ..operators.changes import broadcast_within, join_bytes
 from ..operators.changes import list_snippets as in_order
 from ..operators.embed import Embedder, embed, embedder_named
 from ..operators.search import top_k as search_top_k
 from ..schema import TOP_K
 from ..sources.index import SnippetIndex
+from ..sources.scratch import scratch_folder
 
 _POINT_LOOKUPS = 1000
 
@@ -38,18 +40,25 @@ def find(
         queries = index.spark.createDataFrame(rows, "query_id long, text string")
     model = embedder or embedder_named(index.meta["model_name"])
     hits = search(index, embed(queries, "text", model), top_k)
-    return present.format_hits(_with_snippets(index, hits, queries.count() * top_k))
+    return present.format_hits(_with_snippets(index, hits))
 
 
-def _with_snippets(index: SnippetIndex, hits: DataFrame, at_most: int) -> DataFrame:
-    """Join snippets to hits. A few hits become id literals, which the parquet reader
-    tests against bloom filters before it opens any content column."""
+def _with_snippets(index: SnippetIndex, hits: DataFrame) -> DataFrame:
+    """Join snippets to hits, which are written down first and measured.
+
+    Hits within the bound for broadcasts leave the snippets where they are. Where there are few,
+    their ids also go to the reader, which tests them against bloom filters before it opens any
+    content column. Many more meet the snippets by a shuffle of ids and hits.
+    """
+    folder = f"{scratch_folder(index.spark)}/hits"
+    hits.write.parquet(folder)
+    hits = index.spark.read.schema(hits.schema).parquet(folder)
     snippets = index.snippets()
-    if at_most <= _POINT_LOOKUPS:
-        rows = hits.collect()
-        hits = index.spark.createDataFrame(rows, hits.schema)
-        snippets = snippets.where(F.col("id").isin(sorted({r["id"] for r in rows})))
-    return present.hydrate(hits, snippets)
+    found = hits.agg(F.count("*").alias("n"), join_bytes(F.col("id")).alias("size")).first()
+    if found["n"] <= _POINT_LOOKUPS:
+        ids = sorted({r["id"] for r in hits.select("id").collect()})
+        snippets = snippets.where(F.col("id").isin(ids))
+    return present.hydrate(broadcast_within(hits, found["size"]), snippets)
 
 
 def show(index: SnippetIndex, snippet: str) -> DataFrame:

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -185,6 +186,57 @@ def test_long_generated_files_take_linear_time():
     assert len(D.parse_braces(many, "javascript")[0]) == 20_000
 
 
+@pytest.mark.parametrize(
+    ("language", "line"),
+    [
+        ("typescript", "export const name: string;\n"), ("javascript", "function f() {\n"), ("dart", "int f() {\n"), ("typescript", "const f: (x\n"), ("typescript", "export const f = (a): b\n"),
+        ("typescript", "function f(a): b\n"), ("javascript", "class A\n"), ("dart", "class A\n"), ("javascript", "const a = (b\n"), ("javascript", "f(\n"), ("javascript", "class A { '\n"),
+    ],
+)
+def test_unfinished_declarations_take_linear_time(language, line):
+    text = line * (1_000_000 // len(line))
+    started = time.process_time()
+    assert D.parse_braces(text, language)[0] == []
+    assert time.process_time() - started < 15  # seconds of a slow machine; quadratic scans take many minutes
+
+
+# The shapes in full, from a line start to the opening brace.
+FULL_CLASS = D.JS_CLASS + r"[^{]*\{"
+FULL_FUNCTION = D.JS_FUNCTION + r"[^)]*\)\s*(?::[^{]+)?\{"
+FULL_ARROW = D.JS_ARROW.removesuffix("(?=[:=])") + r"(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?:=>|:[^=]+=>)\s*\{"
+FULL_METHOD = D.JS_METHOD + r"[^)]*\)\s*(?::[^{]+)?\{"
+FULL_DART_CLASS = D.DART_CLASS + r"[^{;]*\{"
+
+
+@pytest.mark.parametrize(
+    ("full", "finder"),
+    [(FULL_CLASS, D._JS[0][0][1]), (FULL_FUNCTION, D._JS[0][1][1]), (FULL_ARROW, D._JS[0][2][1]), (FULL_METHOD, D._JS[1][0][1]), (FULL_DART_CLASS, D._SHAPES["dart"][0][0][1])],
+)
+def test_look_ups_equal_the_full_shapes(full, finder):
+    rng = random.Random(full)
+    bits = ["class ", "A", "function ", "f", "(", ")", ":", "=", "=>", "{", "}", ";", " ", "\n", "const ", "let x", "async ", "export ", "static ", "* ", "b", "g(", ") {\n", "= (", "):"]
+    plain = re.compile(full, re.MULTILINE)
+    for _ in range(6000):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 30)))
+        start, end = sorted((rng.randint(0, len(text)), rng.randint(0, len(text))))
+        find = finder(text)
+        while True:
+            m = plain.search(text, start, end)
+            assert find(text, start, end) == (m and (m.start(), m.end() - 1, m["name"])), text
+            if not m:
+                break
+            start = m.end()
+
+
+def test_partners_of_passed_braces_equal_fresh_scans():
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choices(["{", "}", "{", "'", '"', "`", "//", "/*", "*/", "\n", "a", "\\", "'''"], k=rng.randint(1, 40)))
+        braces = D._Braces(text)
+        for at in (i for i, c in enumerate(text) if c == "{"):
+            assert braces.closing(at) == D.closing_brace(text, at)
+
+
 def rows_of(df):
     columns = ["file_path", "kind", "name", "start_line", "end_line", "content"]
     return [tuple(r) for r in order_in_file(df).select(*columns).collect()]
