@@ -99,6 +99,28 @@ def label(kind: Column, name: Column) -> Column:
     return F.when(name.isNull(), kind).otherwise(F.concat_ws(" ", kind, name))
 
 
+def thousandths(x: Column) -> Column:
+    """``x`` rounded to 3 digits by its binary value, ties to even, as printf in C and Python.
+
+    Spark's own rounding looks at the shortest decimal form, in which 1.0005 is a tie though its
+    value lies below. ``x`` is split into two whole numbers of 32 bits, which holds it exactly
+    wherever it could be a tie.
+    """
+    scaled = F.abs(x) * float(1 << 32)
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * float(1 << 32))
+    whole = lambda c: c.cast("long").cast("decimal(20,0)")
+    unit = F.lit(str(1 << 64)).cast("decimal(20,0)")
+    n = (whole(high) * F.lit(1 << 32).cast("decimal(10,0)") + whole(low)) * F.lit(1000).cast("decimal(4,0)")
+    floor = F.floor(n / unit).cast("decimal(20,0)")
+    # the division above is rounded itself: the remainder tells by how much it is off
+    rest = n - floor * unit
+    floor = floor + F.when(rest < 0, -1).when(rest >= unit, 1).otherwise(0).cast("decimal(20,0)")
+    rest = (n - floor * unit) * F.lit(2).cast("decimal(1,0)")
+    up = (rest > unit) | ((rest == unit) & (floor % 2 == 1))
+    return F.signum(x) * (floor + up.cast("int").cast("decimal(1,0)")).cast("double") / 1000.0
+
+
 def hit_header(
     rank: Column,
     score: Column,
@@ -112,7 +134,7 @@ def hit_header(
     return F.format_string(
         "%d. [%.3f] %s  (%s)  id=%s",
         rank,
-        F.bround(score, 3),
+        thousandths(score),
         label(kind, name),
         location(file_path, start_line),
         snippet,

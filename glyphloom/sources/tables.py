@@ -33,15 +33,19 @@ def files_from_table(
     )
 
 
+#: Bytes of a table per core below which ``spread_scan`` shuffles it.
+_SMALL_BYTES = 16 << 20
+
+
 def spread_scan(table: DataFrame) -> DataFrame:
-    """Spread a plain table scan of few partitions over all cores.
+    """Spread the scan of a small table over all cores.
 
     Extraction costs far more than a shuffle of the text, so a small table in one row group
-    should not keep one core busy and the others idle. Tables with enough partitions, that
-    is all large ones, are left as they are.
+    should not keep one core busy and the others idle. Large tables are left as they are.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if 2 * len(table.inputFiles()) <= cores else table
+    size = table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return table.repartition(cores) if size < cores * _SMALL_BYTES else table
 
 
 def decode_files(files: DataFrame) -> DataFrame:

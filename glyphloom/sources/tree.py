@@ -32,12 +32,15 @@ class _Folder(InputPartition):
         self.path, self.deep = path, deep
 
 
-def _entries(folder: str) -> list[os.DirEntry]:
+def _entries(folder: str) -> Iterator[os.DirEntry]:
+    """Entries of a folder, as they come and without symbolic links."""
     try:
         with os.scandir(folder) as found:
-            return sorted((e for e in found if not e.is_symlink()), key=lambda e: e.name)
+            for e in found:
+                if not e.is_symlink():
+                    yield e
     except OSError:
-        return []
+        return
 
 
 class _TreeReader(DataSourceReader):
@@ -45,28 +48,25 @@ class _TreeReader(DataSourceReader):
         self.root = options["path"]
         self.ignored = set(json.loads(options["ignored"]))
 
-    def _subfolders(self, entries: Iterable[os.DirEntry]) -> list[str]:
-        return [
-            e.path
-            for e in entries
-            if e.is_dir() and e.name not in self.ignored and not e.name.startswith(".")
-        ]
+    def _entered(self, entry: os.DirEntry) -> bool:
+        return entry.name not in self.ignored and not entry.name.startswith(".") and entry.is_dir()
 
     def partitions(self) -> list[InputPartition]:
+        """Folders to list; the driver holds names of folders only, never those of files."""
         opened, waiting = [], deque([self.root])
         while waiting and len(waiting) + len(opened) < _SPLIT_DIRS:
             folder = waiting.popleft()
             opened.append(folder)
-            waiting.extend(self._subfolders(_entries(folder)))
+            waiting.extend(e.path for e in _entries(folder) if self._entered(e))
         return [_Folder(p, False) for p in opened] + [_Folder(p, True) for p in waiting]
 
     def read(self, partition: _Folder) -> Iterator[tuple[str, float, int]]:
         waiting = [partition.path]
         while waiting:
-            entries = _entries(waiting.pop())
-            if partition.deep:
-                waiting += self._subfolders(entries)
-            for entry in entries:
+            for entry in _entries(waiting.pop()):
+                if partition.deep and self._entered(entry):
+                    waiting.append(entry.path)
+                    continue
                 try:
                     if entry.is_file():
                         stat = entry.stat()

@@ -77,7 +77,7 @@ def test_header_rounds_like_printf(spark):
     made = lambda c: text.hit_header(
         F.lit(2), c, F.lit("method"), F.lit("A.f"), F.lit("p.py"), F.lit(9), F.lit("abc")
     )
-    scores = [0.0625, 0.1875, 0.59, -1.0, 1 / 3]
+    scores = [0.0625, 0.1875, 0.59, -1.0, 1 / 3, 0.0005, 0.0025, 1.0005, -0.0015, *(k / 2000 for k in range(-200, 200))]
     want = [f"2. [{s:.3f}] method A.f  (p.py:9)  id=abc" for s in scores]
     assert column(spark, scores, made, "double") == want
     bare = lambda c: text.label(F.lit("block"), c)
