@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +36,8 @@ SAMPLE = 5_000
 #: Most words, and most n-grams, that the model holds over all languages.
 MAX_ENTRIES = 120_000
 LONGEST = 5
+#: Languages whose counts are broadcast; more would be joined by a shuffle of the labelled texts.
+MAX_BROADCAST = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -66,6 +68,9 @@ def training_sample(documents: DataFrame, text: str = "text", lang: str = "lang"
     """(lang, text) of about ``size`` texts per language that are neither held out nor unlabelled."""
     usable = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     there = usable.groupBy(F.col(lang).alias("sample_lang")).agg(F.count("*").alias("sample_n"))
+    counts = there.limit(MAX_BROADCAST + 1).collect()
+    if len(counts) <= MAX_BROADCAST:  # one row per language; texts then stay where they are
+        there = F.broadcast(documents.sparkSession.createDataFrame(counts, there.schema))
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)) / float(1 << 20)
     rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
     return rows.join(there, F.col("lang") == F.col("sample_lang")).where(F.col("draw") * F.col("sample_n") < size).select("lang", "text")
@@ -73,39 +78,37 @@ def training_sample(documents: DataFrame, text: str = "text", lang: str = "lang"
 
 def fit(sample: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
     """Model of a bounded sample with columns lang and text."""
-    spark = sample.sparkSession
+    spark, shape = sample.sparkSession, "lang string, gram string, n long"
+    folder = scratch_folder(spark)
 
-    def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch], count: Callable[[Counter, dict], None]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter[tuple[str, str]] = Counter()
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.update((lang, w) for w in tokens(text))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "gram", "n"])
+            for row in batch.to_pylist():
+                count(seen, row)
+            columns = [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "gram", "n"])
 
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter[tuple[str, str]] = Counter()
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for size in range(1, LONGEST + 1):
-                    for g in grams(word, size):
-                        seen[lang, g] += n
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(seen.values(), pa.int64())], names=["lang", "gram", "n"])
+    def words_of(seen: Counter, row: dict) -> None:
+        seen.update((row["lang"], w) for w in tokens(row["text"]))
 
-    shape = "lang string, gram string, n long"
-    folder = scratch_folder(spark)
+    def grams_of(seen: Counter, row: dict) -> None:
+        for size in range(1, LONGEST + 1):
+            for g in grams(row["gram"], size):
+                seen[row["lang"], g] += row["n"]
 
     def added_up(rows: DataFrame, name: str) -> DataFrame:
         rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).write.parquet(f"{folder}/{name}")
         return spark.read.parquet(f"{folder}/{name}")
 
-    words = added_up(sample.select("lang", "text").mapInArrow(count_words, shape), "words")
+    words = added_up(sample.select("lang", "text").mapInArrow(lambda x: counted(x, words_of), shape), "words")
     # n-grams are those of all words, also of words too rare for a row of their own
-    letters = added_up(words.mapInArrow(count_grams, shape), "grams")
+    letters = added_up(words.mapInArrow(lambda x: counted(x, grams_of), shape), "grams")
     langs = sorted(r[0] for r in words.select("lang").distinct().collect())
     at = {x: i for i, x in enumerate(langs)}
     found = []
-    for counted in (words, letters):
-        table = _frequent(counted, max_entries).toArrow()
+    for rows_of in (words, letters):
+        table = _frequent(rows_of, max_entries).toArrow()
         places: dict[str, int] = {}
         rows = np.fromiter((places.setdefault(g, len(places)) for g in table.column("gram").to_pylist()), np.int64, len(table))
         counts = np.zeros((len(places), len(langs)))
@@ -127,36 +130,41 @@ def _frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.join(totals.where(F.col("total") >= least).select("gram"), "gram").select("gram", "lang", "n")
 
 
-def predict(model: Model, text: str | None, memo: dict[str, np.ndarray | None]) -> tuple[str, float]:
-    """Language and score of one whole text. ``memo`` keeps the scores of unseen words."""
+def predict(model: Model, text: str | None, memo: dict[str, list[int]]) -> tuple[str, float]:
+    """Language and score of one whole text. ``memo`` keeps the n-grams that unseen words back off to."""
     found = tokens(text)
     if not found or not model.langs:
         return "und", 0.0
-    known, total, used = [], np.zeros(len(model.langs)), 0
-    get = model.words.get
+    known, rows, sizes = [], [], []
     for word in found:
-        row = get(word)
+        row = model.words.get(word)
         if row is not None:
             known.append(row)
-        else:
-            logs = memo[word] if word in memo else memo.setdefault(word, backoff(model, word))
-            if logs is not None:
-                total += logs
-                used += 1
-    if known:
-        total += model.word_logs[known].sum(0, dtype=np.float64)
-    used += len(known)
-    scaled = total / math.sqrt(max(used, 1))
+            continue
+        own = memo.get(word)
+        if own is None:
+            own = memo[word] = backoff(model, word)
+        if own:
+            rows += own
+            sizes.append(len(own))
+    total = model.word_logs[known].sum(0, dtype=np.float64) if known else np.zeros(len(model.langs))
+    if rows:
+        # each word counts with the mean of its n-grams
+        total += np.repeat(1 / np.array(sizes), sizes) @ model.gram_logs[rows]
+    scaled = total / math.sqrt(max(len(known) + len(sizes), 1))
     best = int(scaled.argmax())
     return model.langs[best], float(1 / np.exp(scaled - scaled[best]).sum())
 
 
-def backoff(model: Model, word: str) -> np.ndarray | None:
+def backoff(model: Model, word: str) -> list[int]:
+    """The known n-grams of a word, of the greatest length of which there are any."""
+    get = model.grams.get
     for n in range(min(LONGEST, len(word) + 2), 0, -1):
-        rows = [r for r in map(model.grams.get, grams(word, n)) if r is not None]
+        marked = f"<{word}>" if n > 1 else word
+        rows = [r for i in range(len(marked) - n + 1) if (r := get(marked[i : i + n])) is not None]
         if rows:
-            return model.gram_logs[rows].mean(0)
-    return None
+            return rows
+    return []
 
 
 def with_language(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -164,7 +172,7 @@ def with_language(documents: DataFrame, model: Model, text: str = "text", keep:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[str | None]) -> list[list]:
-        memo: dict[str, np.ndarray | None] = {}
+        memo: dict[str, list[int]] = {}
         out = [predict(shared.value, t, memo) for t in texts]
         return [[x[0] for x in out], [x[1] for x in out]]
 

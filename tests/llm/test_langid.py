@@ -42,9 +42,12 @@ def test_unseen_words_back_off(judged):
     model, _ = judged
     word = next(w for w in model.words if len(w) > 4) + "qqq"
     assert word not in model.words
-    logs = langid.backoff(model, word)
-    assert logs is not None and len(logs) == len(model.langs)
-    assert langid.backoff(model, "字") is None
+    names = {i: g for g, i in model.grams.items()}
+    known = [names[r] for r in langid.backoff(model, word)]
+    assert known and all(len(g) == len(known[0]) and g in f"<{word}>" for g in known)
+    longer = langid.grams(word, len(known[0]) + 1)
+    assert len(known[0]) == langid.LONGEST or not any(g in model.grams for g in longer)
+    assert langid.backoff(model, "字") == []
     assert langid.predict(model, "字", {})[0] in model.langs
 
 
