@@ -37,3 +37,17 @@ def made_columns(frame: DataFrame, inputs: list[str], made: str, f: Callable[...
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"out_{i}").alias(c) for i, c in enumerate(kept)), *new.names)
 
+
+
+#: Rows of a join side that are read to the driver and broadcast from there.
+MAX_BROADCAST = 100_000
+
+
+def few(side: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
+    """A join side, broadcast if it turns out to have at most ``most`` rows.
+
+    It is evaluated here, so the other side need not be shuffled to find out. A larger side is left
+    to be joined by a shuffle.
+    """
+    rows = side.limit(most + 1).collect()
+    return F.broadcast(side.sparkSession.createDataFrame(rows, side.schema)) if len(rows) <= most else side

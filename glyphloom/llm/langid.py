@@ -29,15 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_folder
-from .batches import made_columns
+from .batches import few, made_columns
 
 #: Expected number of labelled texts per language that are trained on.
 SAMPLE = 5_000
 #: Most words, and most n-grams, that the model holds over all languages.
 MAX_ENTRIES = 120_000
 LONGEST = 5
-#: Languages whose counts are broadcast; more would be joined by a shuffle of the labelled texts.
-MAX_BROADCAST = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -68,9 +66,7 @@ def training_sample(documents: DataFrame, text: str = "text", lang: str = "lang"
     """(lang, text) of about ``size`` texts per language that are neither held out nor unlabelled."""
     usable = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     there = usable.groupBy(F.col(lang).alias("sample_lang")).agg(F.count("*").alias("sample_n"))
-    counts = there.limit(MAX_BROADCAST + 1).collect()
-    if len(counts) <= MAX_BROADCAST:  # one row per language; texts then stay where they are
-        there = F.broadcast(documents.sparkSession.createDataFrame(counts, there.schema))
+    there = few(there)  # one row per language: texts stay where they are
     draw = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 20)) / float(1 << 20)
     rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
     return rows.join(there, F.col("lang") == F.col("sample_lang")).where(F.col("draw") * F.col("sample_n") < size).select("lang", "text")
