@@ -13,10 +13,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 Made = list[Iterable]
 
 
-def made_columns(frame: DataFrame, inputs: list[str], made: str, f: Callable[..., Made], keep: list[str] | None = None) -> DataFrame:
+#: Rows that are Python objects at the same time.
+ROWS = 2_048
+
+
+def made_columns(frame: DataFrame, inputs: list[str], made: str, f: Callable[..., Made], keep: list[str] | None = None, lists: bool = True) -> DataFrame:
     """``frame`` with the columns of the DDL ``made``, which ``f`` computes from lists of ``inputs``.
 
-    ``f`` gets one Python list per input column and returns one list or Arrow array per new column.
+    ``f`` gets one Python list per input column (``lists=False``: an Arrow array) and returns one list
+    or Arrow array per new column, for at most ``ROWS`` rows at a time.
     ``keep`` names the columns to carry along (default: all); one that has the name of a made
     column is replaced by it. The step is a barrier: later filters never run ``f`` a second time.
     """
@@ -29,10 +34,12 @@ def made_columns(frame: DataFrame, inputs: list[str], made: str, f: Callable[...
     n, names, arrow = len(inputs), schema.names, [to_arrow_type(x.dataType) for x in new]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = f(*(batch.column(i).to_pylist() for i in range(n)))
-            arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[n:], *arrays], names=names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                columns = f(*(c.to_pylist() if lists else c for c in batch.columns[:n]))
+                arrays = [c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[n:], *arrays], names=names)
 
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"out_{i}").alias(c) for i, c in enumerate(kept)), *new.names)

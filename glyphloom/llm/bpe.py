@@ -228,8 +228,12 @@ def with_ids(documents: DataFrame, vocabulary: Broadcast, text: str = "text", ke
 
 def with_decoded(encoded: DataFrame, vocabulary: Broadcast, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that the ids stand for (null ids: none)."""
-    run = lambda rows: [[_merges(*vocabulary.value).decode(r or ()) for r in rows]]
-    return made_columns(encoded, [ids], "decoded binary", run, keep)
+
+    def run(rows: pa.ListArray) -> list[list[bytes]]:
+        merges = _merges(*vocabulary.value)
+        return [[merges.decode(r.values.to_pylist() if r.is_valid else ()) for r in rows]]  # one row's ids at a time
+
+    return made_columns(encoded, [ids], "decoded binary", run, keep, lists=False)
 
 
 def digests(encoded: DataFrame, vocabulary: Broadcast, id_column: str = "doc_id") -> DataFrame:
