@@ -124,6 +124,6 @@ def test_one_of_each_group_stays(odd, none, documents):
 
 
 def test_block_counts():
-    assert [bktree.blocks_for(n) for n in (0, 10**4, 10**7, 10**10)] == [5, 5, 6, 7]
+    assert [bktree.blocks_for(n) for n in (0, 10**4, 10**7, 10**10)] == [5, 5, 6, 8]
     keys = bktree.shard_keys(np.array([-1, 0], np.int64), 6)
     assert keys.shape == (2, 15) and (keys[1] == 0).all() and len(set(keys[0].tolist())) == 15
