@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -19,7 +20,9 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         home = os.path.dirname(os.path.abspath(__file__))
-        target = os.path.join(tempfile.mkdtemp(prefix="glyphloom-ship-"), "glyphloom")
+        folder = tempfile.mkdtemp(prefix="glyphloom-ship-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)  # served until the driver ends
+        target = os.path.join(folder, "glyphloom")
         archive = shutil.make_archive(target, "zip", os.path.dirname(home), os.path.basename(home))
         context.addPyFile(archive)
         _shipped.add(context.applicationId)

@@ -6,8 +6,9 @@ over its lines, so splitting needs no shuffle and no sort: scan, project, explod
 
 from __future__ import annotations
 
-from functools import cache
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +94,16 @@ def blocks_of(
     return let(split_lines(text, breaks), cut)
 
 
-@cache
 def blocks_of_column(name: str, max_lines: int, min_lines: int, breaks: str) -> Column:
-    """``blocks_of`` a named column; the unresolved expression is large and built only once."""
+    """``blocks_of`` a named column; the unresolved expression is large and built once per session.
+
+    Columns are handles into the JVM and of no use in another one.
+    """
+    return _built(SparkContext._active_spark_context, name, max_lines, min_lines, breaks)
+
+
+@lru_cache(maxsize=32)
+def _built(context: SparkContext, name: str, max_lines: int, min_lines: int, breaks: str) -> Column:
     return blocks_of(F.col(name), max_lines, min_lines, breaks)
 
 
