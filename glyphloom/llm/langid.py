@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_folder
-from .batches import few, made_columns
+from .batches import few, made_columns, numbered
 
 #: Expected number of labelled texts per language that are trained on.
 SAMPLE = 5_000
@@ -182,8 +182,8 @@ def filter_language(documents: DataFrame, text: str = "text", lang: str = "lang"
     than ``min_score`` (with one or no language there is nothing to tell apart).
     """
     model = fit(training_sample(documents, text, lang, doc_id))
-    packed = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    judged = with_language(packed, model)
-    letters = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    rows, names, back = numbered(documents)
+    judged = with_language(rows, model, names[text])
+    letters = F.coalesce(F.regexp_like(names[text], F.lit(r"\p{L}")), F.lit(False))
     keep = letters if not model.langs else letters & (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
-    return judged.where(keep).select("row.*")
+    return judged.where(keep).select(*back)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import scratch_folder
-from .batches import few, made_columns
+from .batches import few, made_columns, numbered
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SYMBOL = re.compile(r"[#*$%&|<>]")
@@ -174,5 +174,6 @@ def filter_quality(documents: DataFrame, text: str = "text", lang: str = "lang",
     """The documents that pass, with their own columns. Counts are taken twice, so nothing is stored."""
     # one row per language and source: texts stay where they are
     limits = few(fences(with_counts(documents, text, [lang, source]), lang, source))
-    packed = documents.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    return with_verdict(with_counts(packed), limits).where("kept").select("row.*")
+    rows, names, back = numbered(documents)
+    judged = with_verdict(with_counts(rows, names[text]), limits, names[lang], names[source])
+    return judged.where("kept").select(*back)
