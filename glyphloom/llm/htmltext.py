@@ -2,8 +2,11 @@
 
 A page becomes a tree of elements. Every paragraph-like block of some length earns points for its
 length and commas and passes them to its ancestors, the nearer the more; an element's sum is
-discounted by its link density. The best container, or the article around it, is kept, and with it
-those siblings that score well or are plain paragraphs, less lists of nothing but links. Menus, headers, footers, sidebars, notices,
+discounted by its link density. The best container, or the article around it, is kept. Without an
+article, sections, paragraphs and headings beside it or beside an element around it are kept as well
+where few of their letters are links, however little they score; and lists of nothing but links are
+menus there if they come before the first paragraph, or if the links stand in a box without being
+items of a list or table. Lists of links elsewhere, such as sources, are text. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments are cut out beforehand by element, role and class.
 
 The text of each block has its character references decoded and white space turned into one space;
@@ -62,9 +65,11 @@ CLOSES = {
 }
 P_SCOPE = frozenset({"td", "th", "table", "button", "caption", "object"})
 MIN_BLOCK = 25
-FULL, LEAST_SHARE, LEAST_SCORE = 100, 0.2, 10.0
+FULL = 100
+#: Blocks with a smaller share of letters in links are text.
+LINKED = 0.25
 ARTICLE_BONUS = 25.0
-#: Lists and boxes of nearly nothing but links are menus.
+#: Lists and boxes of nearly nothing but links may be menus.
 LISTS = frozenset({"ul", "ol", "dl", "div", "section", "table"})
 MENU_LINKS, MENU_DENSITY = 3, 0.8
 
@@ -238,21 +243,27 @@ def extract_text(page: str | None) -> str:
         best = max(whole, key=lambda n: (n.chars, -n.order)) if whole else nodes[0]
     around = [n for n in _chain(best) if n.tag in ("article", "main")]
     best = around[-1] if around else best
-    if best.tag in ("article", "main"):
-        chosen = {id(best)}
-    else:
-        least = max(LEAST_SCORE, LEAST_SHARE * best.score)
-        chosen = {id(best)}
+    chosen = {id(best)}
+    whole = best.tag in ("article", "main")
+    if not whole:
+        # sections beside the container, and beside what is around it, belong to the text whatever they score
+        levels = {id(n.parent) for n in _chain(best) if n.parent is not None and n.tag != "body"}
+        around = {id(n) for n in _chain(best)}
         for n in nodes:
-            if n.parent is best.parent and n.chars and n is not best:
-                plain = n.tag in ("p", "pre", "blockquote") and density(n) < 0.25 and n.chars > 80
-                if n.score >= least or plain or re.fullmatch("h[1-6]", n.tag):
+            if id(n.parent) in levels and n.chars and id(n) not in around:
+                plain = n.tag in ("p", "pre", "blockquote") and n.chars >= MIN_BLOCK
+                if ((n.score > 0 or plain) and density(n) < LINKED) or re.fullmatch("h[1-6]", n.tag):
                     chosen.add(id(n))
+    inside = [(b, [id(n) for n in _chain(b.node)]) for b in kept]
+    inside = [(b, above) for b, above in inside if not chosen.isdisjoint(above)]
+    if whole:
+        return "\n\n".join(b.text for b, _ in inside)
     menus = {id(n) for n in nodes if n.tag in LISTS and n.links >= MENU_LINKS and density(n) > MENU_DENSITY and id(n) not in chosen}
-    out = []
-    for b in kept:
-        above = [id(n) for n in _chain(b.node)]
-        if not chosen.isdisjoint(above) and menus.isdisjoint(above):
+    bare = {id(b.node) for b, _ in inside if b.node.tag in ("div", "section") and b.link_chars > MENU_DENSITY * len(b.text)} & menus
+    out, begun = [], False
+    for b, above in inside:
+        begun |= len(b.text) >= MIN_BLOCK and b.link_chars < LINKED * len(b.text)
+        if (bare if begun else menus).isdisjoint(above):
             out.append(b.text)
     return "\n\n".join(out)
 

@@ -67,3 +67,32 @@ def test_frame(spark):
     got = sorted((tuple(r) for r in page_texts(frame).collect()), key=str)
     assert got == sorted([(1, "u", PARA, len(PARA)), (1, "u", PARA, len(PARA)), (2, None, "", 0), (None, "u", "", 0)], key=str)
     assert page_texts(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("section", ["<div>{}</div>", "<div><div class=inner>{}</div></div>", "<section><div><div>{}</div></div></section>"])
+def test_a_short_section_beside_a_long_one_stays(section):
+    last = "One more section, of one paragraph alone, which is as much of the article as the rest of it. " * 3
+    body = section.format(f"<h2>Long</h2>{f'<p>{PARA * 4}</p>' * 10}") + section.format(f"<h2>Short</h2><p>{last}</p>")
+    want = "\n\n".join(["Long", *[PARA * 4] * 10, "Short", last.strip()])
+    assert extract_text(page(body)) == want
+    assert extract_text(page(f"<div id=wrap>{body}</div>")) == want
+
+
+LINKED = ["A book of some length", "Another book", "A third one, by somebody"]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><div>{}</div></main>", "<div class=content>{}</div>"])
+@pytest.mark.parametrize(
+    "links",
+    [
+        "<ul>" + "".join(f"<li><a href=/>{x}</a></li>" for x in LINKED) + "</ul>",
+        "<table>" + "".join(f"<tr><td><a href=/>{x}</a></td></tr>" for x in LINKED) + "</table>",
+        "<div><ol>" + "".join(f"<li><a href=/>{x}</a></li>" for x in LINKED) + "</ol></div>",
+        "<dl>" + "".join(f"<dd><a href=/>{x}</a></dd>" for x in LINKED) + "</dl>",
+    ],
+)
+def test_lists_of_sources_stay_in_the_article(wrap, links):
+    body = wrap.format(f"<p>{PARA}</p><p>{MORE}</p><h2>Sources</h2>{links}")
+    assert extract_text(page(body)) == "\n\n".join([PARA, MORE, "Sources", *LINKED])
+    menu = f"<div class=menu>{links}</div>"
+    assert extract_text(page(wrap.format(f"{menu}<p>{PARA}</p><p>{MORE}</p>"))) == f"{PARA}\n\n{MORE}"
