@@ -13,7 +13,7 @@ sample of vectors, lets most tasks return nothing for most queries; it speeds th
 leaves its result as it is. Scores of a task's queries cover all vectors of its partition.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, nor do
-empty ones; a query meets vectors of its own length only; rows with the query's own vec_id are left
+empty ones or rows without a vec_id (as in SQL, where null differs from no query's vec_id); a query meets vectors of its own length only; rows with the query's own vec_id are left
 out; repeated rows each take a rank; of several query rows with one vec_id the smallest vector
 counts; fewer candidates than k are returned as they are; components beyond 2^25 in size are held
 at that bound, so that all scores are exact in 64 bits (up to 2^13 dimensions).
@@ -45,7 +45,7 @@ def whole_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "
     x = F.transform(embedding, lambda c: c.cast("double"))
     fine = F.forall(x, lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False)))
     held = lambda c: F.greatest(F.least(F.floor(c * float(scale)), F.lit(LIMIT)), F.lit(-LIMIT))
-    rows = vectors.where(F.col(embedding).isNotNull() & (F.size(embedding) > 0)).where(fine)
+    rows = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0)).where(fine)
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, held).alias("v"))
 
 

@@ -77,3 +77,11 @@ def test_reads_few_exact_vectors():
     read = []
     search.add(np.arange(4000), (v - low) // width, lambda rows: read.extend(rows) or v[rows])
     assert len(read) < 100
+
+
+def test_rows_without_id_take_no_part(spark):
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)], 0) for i in range(60)]
+    nameless = [(None, [9.0, 9.0, 9.0], 1), (None, [-9.0, 9.0, 0.5], None), (None, None, 1)]
+    assert found(spark, rows + nameless) == brute(rows, 10, 5)
+    assert found(spark, nameless) == []
