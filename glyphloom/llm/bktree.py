@@ -1,10 +1,9 @@
 """SimHash fingerprints, linked with BK-trees.
 
 Texts give 64-bit fingerprints; equal ones collapse before anything is compared. Fingerprints that
-differ in at most r bits agree in some b - r of b bit blocks, so each goes to one shard per choice
-of b - r blocks (b grows with the number of fingerprints and keeps shards small). A shard's
-fingerprints form a BK-tree, children keyed by their Hamming distance to the parent; a search
-follows only edges within r of its own distance.
+differ in at most r bits agree in some two of r + 2 bit blocks, so each goes to one shard per choice
+of two blocks, whatever the size of the input. A shard's fingerprints form a BK-tree, children keyed
+by their Hamming distance to the parent; a search follows only edges within r of its own distance.
 
 Shards larger than a bound are cut into parts. Each part's tree travels to the tasks that search
 it, and each pair of parts is one cell of bounded size, so a hot shard fills many tasks. Trees
@@ -14,11 +13,6 @@ would take the fingerprints of all documents through the driver.
 A cell returns links that connect what it found linked, not every pair. Components are then found
 by alternating large-star and small-star rounds, each written to the shared folder.
 
-``drop_near_duplicates`` has a similarity of its own: texts are near-duplicates if their sets of
-five-word shingles (lower case) have a Jaccard similarity of at least 0.8. A SimHash of 128 bits
-and BK-trees, in shards by several random choices of bits, give candidates; within each component of
-candidates the sets themselves are compared, and only pairs found to be alike are linked.
-
 Defined results: null and empty texts have no words and fingerprint zero; a component's id is its
 smallest non-null doc_id (null if it has none); repeated rows come back as often as they occur.
 """
@@ -28,7 +22,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import folders
 from ..sources.scratch import scratch_folder
-from .batches import few, made_columns
+from .batches import made_columns, numbered
 
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 SHINGLE = 4
@@ -46,15 +40,8 @@ RADIUS = 4
 #: Fingerprints in one tree, and probes searched together in it.
 PART = 8_192
 PROBES = 512
-#: Near-duplicates that are dropped: words of a shingle and least similarity of the sets, in tenths.
-SET_SHINGLE = 5
-ALIKE = 8
-#: Bits (of 128) by which candidates may differ: at a similarity of 0.8 it is 19 on average, with a deviation of 4.
-SET_RADIUS = 36
-#: Share of bits that differ in an unlucky pair (27 of 128), and the share of such pairs that may be missed.
-UNLUCKY, MISSED = 0.215, 0.01
-#: Shingles of the sets that are compared in one task at a time.
-PART_SHINGLES = 1 << 21
+#: Blocks that two near fingerprints agree in: 15 shards a fingerprint, of 20 bits or more, at a radius of 4.
+AGREED = 2
 
 
 def fingerprint(text: str | None) -> int:
@@ -83,30 +70,17 @@ def with_fingerprint(documents: DataFrame, text: str = "text", keep: list[str] |
 # -- shards --------------------------------------------------------------------------
 
 
-def blocks_for(n: int, radius: int = RADIUS) -> int:
-    """The number of bit blocks with the least expected work: shards per fingerprint times their size.
-
-    Sending a fingerprint to a shard costs about as much as ten comparisons there.
-    """
-
-    def work(b: int) -> float:
-        return comb(b, radius) * (10 + n / 2.0 ** (64 * (b - radius) / b))
-
-    return min(range(radius + 1, radius + 5), key=work)
-
-
-def shard_keys(fingerprints: np.ndarray, blocks: int, radius: int = RADIUS) -> np.ndarray:
+def shard_keys(fingerprints: np.ndarray, radius: int = RADIUS, agreed: int = AGREED) -> np.ndarray:
     """One row per fingerprint, one column per choice of blocks: the bits there, all else zero."""
+    blocks = radius + agreed
     edges = np.linspace(0, 64, blocks + 1).astype(int)
     masks = [((1 << int(b - a)) - 1) << int(a) for a, b in zip(edges, edges[1:])]  # noqa: B905
-    chosen = [sum(c) for c in combinations(masks, blocks - radius)]
+    chosen = [sum(c) for c in combinations(masks, agreed)]
     return fingerprints.view(np.uint64)[:, None] & np.array(chosen, np.uint64)[None, :]
 
 
 def _bits(x: np.ndarray) -> np.ndarray:
-    """Bits that are set, of numbers or of rows of numbers."""
-    count = np.bitwise_count(x).astype(np.int64)
-    return count if count.ndim == 1 else count.sum(1)
+    return np.bitwise_count(x).astype(np.int64)
 
 
 def build_trees(points: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -121,7 +95,7 @@ def build_trees(points: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.n
     todo = np.flatnonzero(root != np.arange(n))
     while len(todo):
         distance[todo] = _bits(points[todo] ^ points[parent[todo]])
-        key = parent[todo] * 129 + distance[todo]
+        key = parent[todo] * 65 + distance[todo]
         _, first, which = np.unique(key, return_index=True, return_inverse=True)
         child = todo[first][which]  # the first of those with this distance becomes the child
         settled = child == todo
@@ -163,26 +137,23 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, part: int = PART) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints at most ``radius`` bits apart."""
-    n = fingerprints.count()
-    blocks = blocks_for(n, radius)
+def links(fingerprints: DataFrame, folder: str, radius: int = RADIUS, part: int = PART) -> DataFrame:
+    """Links (a, b) that connect all distinct fingerprints at most ``radius`` bits apart.
+
+    The shards of every fingerprint are written below ``folder``, which must be shared: their sizes
+    and their rows are read from there.
+    """
 
     def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             f = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = shard_keys(f, blocks, radius)
+            keys = shard_keys(f, radius)
             choice = np.broadcast_to(np.arange(keys.shape[1], dtype=np.int32), keys.shape)
             columns = [np.repeat(f, keys.shape[1]), choice.ravel(), keys.view(np.int64).ravel()]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["f", "choice", "shard"])
 
-    rows = fingerprints.select("fingerprint").mapInArrow(sharded, "f long, choice int, shard long")
-    return _links_of(rows, radius, part)
-
-
-def _links_of(rows: DataFrame, radius: int, part: int) -> DataFrame:
-    """Links within the shards of (f, choice, shard); further columns hold the points if f does not."""
-    points = rows.columns[3:]
+    fingerprints.select("fingerprint").mapInArrow(sharded, "f long, choice int, shard long").write.parquet(f"{folder}/shards")
+    rows = fingerprints.sparkSession.read.parquet(f"{folder}/shards")
     sizes = rows.groupBy("choice", "shard").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(sizes.withColumn("parts", F.ceil(F.col("n") / part).cast("int")), ["choice", "shard"])
     mine = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")
@@ -190,8 +161,8 @@ def _links_of(rows: DataFrame, radius: int, part: int) -> DataFrame:
     tree_in = F.transform(F.sequence("mine", F.col("parts") - 1), lambda j: F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     probe_in = F.transform(F.sequence(F.lit(0), F.col("mine")), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side")))
     probe_in = F.filter(probe_in, lambda c: c["i"] != c["j"])
-    cells = rows.withColumn("mine", mine).select("choice", "shard", "f", *points, F.explode(F.concat(tree_in, probe_in)).alias("c"))
-    cells = cells.select(F.xxhash64("choice", "shard", "c.i", "c.j").alias("cell"), "choice", "shard", "c.i", "c.j", "c.side", "f", *points)
+    cells = rows.withColumn("mine", mine).select("choice", "shard", "f", F.explode(F.concat(tree_in, probe_in)).alias("c"))
+    cells = cells.select(F.xxhash64("choice", "shard", "c.i", "c.j").alias("cell"), "choice", "shard", "c.i", "c.j", "c.side", "f")
     order = ["cell", "choice", "shard", "i", "j", "side", "f"]
     cells = cells.repartition("cell").sortWithinPartitions(*order)
     return cells.mapInArrow(lambda batches: _link_cells(batches, radius), "a long, b long")
@@ -221,7 +192,6 @@ def _linked(columns: list[np.ndarray], new: np.ndarray, radius: int) -> Iterator
     f, side = columns[6].view(np.uint64), columns[5]
     if len(f) < 2:
         return
-    points = np.stack(columns[7:], 1).view(np.uint64) if len(columns) > 7 else f
     group = np.cumsum(new)
     nodes, seekers = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     seekers = seekers[np.isin(group[seekers], group[nodes])]  # hashing may leave a part empty
@@ -231,7 +201,7 @@ def _linked(columns: list[np.ndarray], new: np.ndarray, radius: int) -> Iterator
     both = np.sort(np.concatenate([nodes, seekers]))
     first = nodes[np.searchsorted(group[nodes], group[both], "left")]
     near = np.zeros(len(f), bool)
-    near[both] = _bits(points[both] ^ points[first]) <= radius
+    near[both] = _bits(f[both] ^ f[first]) <= radius
     label = np.arange(len(f))
     label[both[near[both]]] = first[near[both]]
     far = nodes[~near[nodes]]
@@ -242,9 +212,9 @@ def _linked(columns: list[np.ndarray], new: np.ndarray, radius: int) -> Iterator
     for own, probes in ((nodes, others), (far, linked[np.isin(group[linked], group[far])])):
         if not len(own) or not len(probes):
             continue
-        trees = build_trees(points[own], group[own])
+        trees = build_trees(f[own], group[own])
         roots = np.searchsorted(group[own], group[probes], "left")
-        for p, node in search_trees(points[own], trees, points[probes], roots, radius):
+        for p, node in search_trees(f[own], trees, f[probes], roots, radius):
             a, b = probes[p], own[node]
             if (label[a] != label[b]).any():
                 label = join_labels(label, a, b)
@@ -280,6 +250,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small.unionByName(least.select("a", F.col("m").alias("b"))).distinct().write.parquet(f"{folder}/round-{turn}")
         current = spark.read.parquet(f"{folder}/round-{turn}")
+        folders.remove(spark, f"{folder}/round-{turn - 1}")
     else:
         raise RuntimeError("components did not settle in 200 rounds")
     roots = current.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
@@ -294,7 +265,8 @@ def classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", ra
     rows = spark.read.parquet(f"{folder}/fingerprints")
     rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")).write.parquet(f"{folder}/distinct")
     distinct = spark.read.parquet(f"{folder}/distinct")
-    labels = components(links(distinct, radius), f"{folder}/components").select(F.col("node").alias("fingerprint"), "label")
+    labels = components(links(distinct, folder, radius), f"{folder}/components").select(F.col("node").alias("fingerprint"), "label")
+    folders.remove(spark, f"{folder}/shards")
     label = F.coalesce("label", "fingerprint")
     found = distinct.join(labels, "fingerprint", "left").select("fingerprint", "first_id", label.alias("label"))
     ids = found.groupBy("label").agg(F.min("first_id").alias("component_id"))
@@ -307,220 +279,25 @@ def near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc
     return rows.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-# -- texts alike by their shingles ---------------------------------------------------
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingle_set(text: str | None) -> np.ndarray:
-    """Hashes of the distinct shingles of five words (all words of a shorter text), ascending."""
-    words = (text or "").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    hashed = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in words], np.uint64)
-    k = min(SET_SHINGLE, len(words))
-    n = len(words) - k + 1
-    made = np.full(n, k, np.uint64)
-    for i in range(k):
-        made = _mixed(made * np.uint64(0x9E3779B97F4A7C15) + hashed[i : i + n])
-    return np.unique(made)
-
-
-def _sketch(grams: np.ndarray) -> list[int]:
-    """SimHash of 128 bits of a set, as two signed numbers."""
-    out = []
-    for turn in range(2):
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(grams), 1 << 16):
-            bits = _mixed(grams[i : i + (1 << 16)] + np.uint64(turn)).view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(bits, axis=1).sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(grams)).view(np.int64)[0]))
-    return out
-
-
-def set_print(grams: np.ndarray) -> int:
-    """A 64-bit number of the whole set; texts with equal sets share it."""
-    return int(np.array([xxhash.xxh64_intdigest(grams.tobytes(), SEED)], np.uint64).view(np.int64)[0])
-
-
-def _set_prints(texts: list) -> list:
-    return [[set_print(shingle_set(t)) for t in texts]]
-
-
-def _set_columns(texts: list) -> list:
-    prints, first, second, stored = [], [], [], []
-    for text in texts:
-        grams = shingle_set(text)
-        a, b = _sketch(grams)
-        prints.append(set_print(grams))
-        first.append(a)
-        second.append(b)
-        stored.append(grams.tobytes())
-    return [prints, first, second, stored]
-
-
-def bit_choices(n: int) -> list[list[int]]:
-    """Places among 128 bits; sketches that agree in one of these choices share a shard.
-
-    Shards of unrelated texts hold about 64; an unlucky pair at the least similarity agrees in none
-    of the choices with a probability of ``MISSED``.
-    """
-    width = min(16, max(6, round(np.log2(max(n, 1) / 64))))
-    times = int(np.ceil(np.log(MISSED) / np.log1p(-((1 - UNLUCKY) ** width))))
-    rng = np.random.default_rng(SEED)
-    return [sorted(rng.choice(128, width, replace=False).tolist()) for _ in range(times)]
-
-
-def _set_candidates(sketches: DataFrame, part: int) -> DataFrame:
-    """Links (a, b) between the sketches (f, s0, s1) at most ``SET_RADIUS`` bits apart that share a shard."""
-    choices = bit_choices(sketches.count())
-    masks = np.array([[sum(1 << x - 64 * w for x in c if x // 64 == w) for w in range(2)] for c in choices], np.uint64)
-
-    def sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2_048):
-                f, s0, s1 = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in whole.slice(at, 2_048).columns)
-                keys = _mixed(s0.view(np.uint64)[:, None] & masks[:, 0]) + (s1.view(np.uint64)[:, None] & masks[:, 1])
-                choice = np.broadcast_to(np.arange(len(masks), dtype=np.int32), keys.shape).ravel()
-                f, s0, s1 = (np.repeat(c, len(masks)) for c in (f, s0, s1))
-                columns = [f, np.ascontiguousarray(choice), _mixed(keys).view(np.int64).ravel(), s0, s1]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["f", "choice", "shard", "s0", "s1"])
-
-    rows = sketches.select("f", "s0", "s1").mapInArrow(sharded, "f long, choice int, shard long, s0 long, s1 long")
-    return _links_of(rows, SET_RADIUS, part)
-
-
-def alike_pairs(sets: list[np.ndarray], label: np.ndarray, seekers: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, list]:
-    """Joins the labels of sets with a similarity of at least ``ALIKE`` tenths; returns labels and links.
-
-    ``seekers``: places that are compared with all the places ``found``.
-    """
-    made: list[tuple[int, int]] = []
-    size = np.array([len(x) for x in sets], np.int64)
-    _, code = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(size) - size
-    mark = np.zeros(int(code.max(initial=-1)) + 1, np.int32)
-    for i in seekers.tolist():
-        near = found[(label[found] != label[i]) & (10 * np.minimum(size[found], size[i]) >= ALIKE * np.maximum(size[found], size[i]))]
-        near = near[size[near] > 0]
-        if not len(near) or not size[i]:
-            continue
-        own = code[start[i] : start[i] + size[i]]
-        mark[own] = 1
-        lengths = size[near]
-        begin = np.cumsum(lengths) - lengths
-        at = np.repeat(start[near] - begin, lengths) + np.arange(int(lengths.sum()))
-        common = np.add.reduceat(mark[code[at]], begin).astype(np.int64)
-        mark[own] = 0
-        for j in near[10 * common >= ALIKE * (size[i] + lengths - common)].tolist():
-            if label[i] != label[j]:
-                made.append((i, j))
-                label[label == label[j]] = label[i]
-    return label, made
-
-
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the cells (component, part), whose rows (seeks, f, grams) follow each other."""
-
-    def cell(rows: list) -> pa.RecordBatch:
-        f = np.array([r[1] for r in rows], np.int64)
-        sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-        seeks = np.array([r[0] for r in rows])
-        # 0: compared with all of the cell; 1: of another part, compared with this part's; 2: only found
-        _, made = alike_pairs(sets, np.arange(len(f)), np.flatnonzero(seeks < 2), np.flatnonzero(seeks != 1))
-        a, b = ([f[pair[x]] for pair in made] for x in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    key, rows = None, []
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            columns = (c.to_pylist() for c in batch.slice(at, 256).columns)
-            for component, part, seeks, f, grams in zip(*columns, strict=True):
-                if (component, part) != key:
-                    if len(rows) > 1:
-                        yield cell(rows)
-                    key, rows = (component, part), []
-                rows.append((seeks, f, grams))
-    if len(rows) > 1:
-        yield cell(rows)
-
-
-def _compare(cells: DataFrame) -> DataFrame:
-    cells = cells.select("component", "part", "seeks", "f", "grams").repartition("component", "part")
-    return cells.sortWithinPartitions("component", "part", "f").mapInArrow(_compared, "a long, b long")
-
-
-def set_classes(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", part: int = PART) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fingerprint) of every row, and (fingerprint, label) of every set of shingles.
-
-    Sets with one label are connected by pairs that were compared and are alike. A component of
-    candidates whose sets are more than ``PART_SHINGLES`` is cut into parts. Its smallest set is
-    compared in each of them, and only sets that are not connected to it by that go to all parts.
-    """
-    spark, folder = documents.sparkSession, scratch_folder(documents.sparkSession)
+def drop_near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """One document of each component, with its own columns: that with the smallest doc_id.
 
-    def stored(frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
-
-    given = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    made = "fingerprint long, s0 long, s1 long, grams binary"
-    rows = stored(made_columns(given, ["text"], made, _set_columns, ["doc_id", "row"]), "sets")
-    one = [F.min(c).alias(c) for c in ("row", "s0", "s1")]
-    sized = rows.select("fingerprint", "row", "s0", "s1", F.expr("octet_length(grams) div 8").alias("n"))
-    distinct = sized.groupBy("fingerprint").agg(*one, F.min("n").alias("n")).withColumn("f", F.xxhash64("s0", "s1"))
-    distinct = stored(distinct, "distinct")
-    sketches = stored(distinct.groupBy("f").agg(F.min("s0").alias("s0"), F.min("s1").alias("s1")), "sketches")
-    near = components(_set_candidates(sketches, part), f"{folder}/candidates")
-    labelled = distinct.join(near.withColumnRenamed("node", "f"), "f", "left")
-    labelled = labelled.select("fingerprint", "row", "n", F.coalesce("label", "f").alias("component"))
-    sums = labelled.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("total"), F.min("fingerprint").alias("head"))
-    sums = sums.where("members > 1").withColumn("parts", F.ceil(F.col("total") / PART_SHINGLES).cast("int"))
-    members = stored(labelled.join(sums, "component").withColumn("home", F.pmod(F.xxhash64("fingerprint"), F.greatest("parts", F.lit(1))).cast("int")), "members")
-    # one row of each set: copies do not travel
-    sets = rows.select("row", "grams").join(few(members.select("row", "component", "fingerprint", "head", "parts", "home")), "row")
-    sets = stored(sets.select("component", F.col("fingerprint").alias("f"), "head", "parts", "home", "grams"), "compared")
-    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    homes = F.when((F.col("f") == F.col("head")) & (F.col("parts") > 1), everywhere).otherwise(F.array("home"))
-    links = stored(_compare(sets.withColumn("seeks", F.lit(0)).withColumn("part", F.explode(homes))), "links-0")
-    large = sets.where("parts > 1")
-    if not large.isEmpty():
-        so_far = components(links, f"{folder}/so-far").withColumnRenamed("node", "f")
-        marks = stored(members.where("parts > 1").select(F.col("fingerprint").alias("f"), "head").join(so_far, "f", "left"), "marks")
-        heads = marks.where("f = head").select("head", F.coalesce("label", "f").alias("head_label"))
-        alone = marks.join(heads, "head").where(F.coalesce("label", "f") != F.col("head_label")).select("f")
-        again = large.join(few(stored(alone, "alone")), "f", "left_semi")
-        others = again.select("*", F.explode(F.filter(everywhere, lambda x: x != F.col("home"))).alias("part"), F.lit(1).alias("seeks"))
-        cells = others.unionByName(large.withColumn("part", F.col("home")).withColumn("seeks", F.lit(2)))
-        links = links.unionByName(stored(_compare(cells), "links-1"))
-    labels = components(links, f"{folder}/components").withColumnRenamed("node", "fingerprint")
-    found = distinct.select("fingerprint").join(labels, "fingerprint", "left")
-    return rows.select("doc_id", "fingerprint"), found.select("fingerprint", F.coalesce("label", "fingerprint").alias("label"))
-
-
-def drop_near_duplicates(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One document of each group alike by shingles, with its own columns: that with the smallest doc_id.
-
-    Rows that share their doc_id, or have none, are told apart by their sets of shingles, so that of
+    Rows that share their doc_id, or have none, are told apart by their fingerprints, so that of
     repeated rows one stays.
     """
-    rows, found = set_classes(documents, text, doc_id)
+    documents, names, back = numbered(documents)
+    given = F.col(names[doc_id])
+    rows, found = classes(documents, names[text], names[doc_id], radius)
     rows = rows.join(found, "fingerprint").select("doc_id", "fingerprint", "label")
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "fingerprint")
     best = rows.groupBy("label").agg(F.min(rank).alias("best")).select("label", "best.doc_id", "best.fingerprint")
     shared = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("shared_id"))
-    own = documents[doc_id]
     dropped = rows.join(best, ["label", "doc_id", "fingerprint"], "left_anti").select(F.col("doc_id").alias("dropped_id"))
     if shared.isEmpty():
-        return documents.join(dropped, own == F.col("dropped_id"), "left_anti")
-    alone = documents.join(dropped.unionByName(shared.select(F.col("shared_id").alias("dropped_id"))), own.eqNullSafe(F.col("dropped_id")), "left_anti")
-    several = documents.join(shared, own.eqNullSafe(F.col("shared_id")), "left_semi")
-    packed = several.select(F.struct("*").alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("row_id"))
-    marked = made_columns(packed, ["text"], "row_print long", _set_prints)
-    match = F.col("row_id").eqNullSafe(F.col("doc_id")) & (F.col("row_print") == F.col("fingerprint"))
-    chosen = marked.join(best, match, "left_semi").dropDuplicates(["row_id", "row_print"])
-    return alone.unionByName(chosen.select("row.*"))
+        return documents.join(dropped, given == F.col("dropped_id"), "left_anti").select(*back)
+    alone = documents.join(dropped.unionByName(shared.select(F.col("shared_id").alias("dropped_id"))), given.eqNullSafe(F.col("dropped_id")), "left_anti")
+    several = documents.join(shared, given.eqNullSafe(F.col("shared_id")), "left_semi")
+    marked = with_fingerprint(several, names[text]).withColumnRenamed("fingerprint", "row_print")
+    match = given.eqNullSafe(F.col("doc_id")) & (F.col("row_print") == F.col("fingerprint"))
+    chosen = marked.join(best, match, "left_semi").dropDuplicates([names[doc_id], "row_print"])
+    return alone.unionByName(chosen.drop("row_print")).select(*back)

@@ -5,7 +5,7 @@ import pytest
 LONG = "una frase larga, con palabras; " * 4000
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that results and inner steps use, as columns of the input.
-CLASHING = "score double, kept boolean, spans string, ids string, fingerprint string, component_id long, bin string, label string, row string, n_words string, base_failed string, lang_pred string, shard string, cluster string, node string, held_out string"
+CLASHING = "score double, kept boolean, spans string, ids string, fingerprint string, component_id long, bin string, label string, row string, n_words string, base_failed string, lang_pred string, shard string, cluster string, node string, held_out string, dropped_id long, shared_id long, row_print long, missing boolean"
 
 
 @pytest.fixture
