@@ -7,8 +7,8 @@ highest sum; its score is that language's share after the sums are scaled by the
 of words, so that long texts do not all score 1.
 
 Training reads a bounded sample: about ``SAMPLE`` labelled texts per language, drawn by hash, whole.
-The tables hold at most ``MAX_ENTRIES`` words and n-grams, those above a count that fits; the rarer
-words back off. So the model has a fixed bound, whatever the corpus, and travels as a broadcast.
+The tables hold at most ``MAX_ENTRIES`` words and n-grams, an equal share of them for each language:
+those above a count of its own that fits. The rarer words back off. So the model has a fixed bound, whatever the corpus, and travels as a broadcast.
 
 Defined results: a null text and one without letters give ``und`` and score 0, as does any text
 where there is nothing to train on; ties go to the first language in order of name; a null doc_id
@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ SAMPLE = 5_000
 MAX_ENTRIES = 120_000
 LONGEST = 5
 WORD = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 @dataclass
@@ -49,7 +51,9 @@ class Model:
 
 
 def tokens(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    """Runs of letters; numerals such as ² and Ⅳ are none."""
+    found = WORD.findall(text.lower()) if text else []
+    return found if all(map(str.isalpha, found)) else LETTERS.findall(text.lower())
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -115,15 +119,24 @@ def fit(sample: DataFrame, max_entries: int = MAX_ENTRIES) -> Model:
 
 
 def _frequent(counted: DataFrame, most: int) -> DataFrame:
-    """The rows of at most ``most`` words or n-grams: all whose total count is above a threshold."""
-    totals = counted.groupBy("gram").agg(F.sum("n").alias("total"))
-    least, room = 1, most
-    for r in sorted(totals.groupBy("total").count().collect(), reverse=True):  # far fewer than tokens
-        room -= r["count"]
-        if room < 0:
-            least = r["total"] + 1
-            break
-    return counted.join(totals.where(F.col("total") >= least).select("gram"), "gram").select("gram", "lang", "n")
+    """The rows of at most ``most`` words or n-grams, an equal share for each language.
+
+    A language's share is all whose count in it is above a threshold of its own.
+    """
+    counts: dict[str, list[tuple[int, int]]] = {}
+    for r in counted.groupBy("lang", "n").agg(F.count("*").alias("m")).collect():  # far fewer than tokens
+        counts.setdefault(r["lang"], []).append((r["n"], r["m"]))
+    least = {}
+    for lang, own in counts.items():
+        room, least[lang] = most // len(counts), 1
+        for n, m in sorted(own, reverse=True):
+            room -= m
+            if room < 0:
+                least[lang] = n + 1
+                break
+    limits = counted.sparkSession.createDataFrame(list(least.items()), "limit_lang string, least long")
+    frequent = counted.join(F.broadcast(limits), F.col("lang") == F.col("limit_lang")).where("n >= least").select("gram").distinct()
+    return counted.join(frequent, "gram").select("gram", "lang", "n")
 
 
 def predict(model: Model, text: str | None, memo: dict[str, list[int]]) -> tuple[str, float]:

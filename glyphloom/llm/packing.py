@@ -74,13 +74,13 @@ def pieces(documents: DataFrame, capacity: int, text: str, doc_id: str, source:
 def pack(documents: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, text: str = "text", doc_id: str = "doc_id", source: str = "source", cluster: Column | None = None, with_text: bool = False) -> DataFrame:
     """One row per piece: bin, offset (its place in the bin), doc_id, piece, start, length, and text if asked for.
 
-    ``cluster``: any column that is equal for duplicates; default: the hash of the text. The number
-    of shards follows from the number of pieces, so their mean size is that of ``shard``.
+    ``cluster``: any column that is equal for duplicates; default: the hash of the text, so that exact
+    copies are in conflict, and null for null texts. The number of shards follows from the number of pieces, so their mean size is that of ``shard``.
     """
     n = F.greatest(F.ceil(F.length(F.coalesce(F.col(text), F.lit(""))) / capacity), F.lit(1))
     total = documents.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // shard))
-    cluster = F.xxhash64(text) if cluster is None else cluster.cast("long")
+    cluster = F.when(F.col(text).isNotNull(), F.xxhash64(text)) if cluster is None else cluster.cast("long")
     rows = pieces(documents, capacity, text, doc_id, source, cluster)
     rows = rows if with_text else rows.drop("text")
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece"), F.lit(shards)))

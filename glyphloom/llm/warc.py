@@ -69,22 +69,49 @@ def value_of(fields: list[tuple[str, str]], name: str) -> str | None:
     return next((v for k, v in fields if k.lower() == name.lower()), None)
 
 
+CHUNK = re.compile(rb"[ \t]*([0-9a-fA-F]+)[ \t]*(?:;[^\r\n]*)?")
+
+
 def sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The joined chunks; ``data`` itself where it does not begin with a chunk (stored without them)."""
+    parts, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        m = CHUNK.fullmatch(data, at, end) if end >= 0 else None
+        if not m:
+            if not at:
+                return data
+            raise ValueError("body: broken chunks")
+        n = int(m[1], 16)
+        if not n:
+            return b"".join(parts)
+        at = end + 2 + n
+        if data[at : at + 2] != b"\r\n":
+            raise ValueError("body: broken chunks")
+        parts.append(data[end + 2 : at])
+        at += 2
+
+
 def _body(fields: list[tuple[str, str]], data: bytes) -> bytes:
-    """The body without transfer and content encoding."""
+    """The body without transfer and content encoding. Raises ValueError for a coding it does not know."""
     if "chunked" in (value_of(fields, "Transfer-Encoding") or "").lower():
-        parts, at = [], 0
-        while (end := data.find(b"\r\n", at)) >= 0 and (m := re.match(rb"\s*([0-9a-fA-F]+)", data[at:end])) and (n := int(m[1], 16)):
-            parts.append(data[end + 2 : end + 2 + n])
-            at = end + 4 + n
-        data = b"".join(parts)
-    coding = (value_of(fields, "Content-Encoding") or "").lower()
-    if coding in ("gzip", "x-gzip"):
-        return gzip.decompress(data)
-    return zlib.decompress(data) if coding == "deflate" else data
+        data = _unchunked(data)
+    codings = [x.strip() for x in (value_of(fields, "Content-Encoding") or "").lower().split(",")]
+    for coding in reversed(codings):  # the last one was applied last
+        if coding in ("gzip", "x-gzip"):
+            data = gzip.decompress(data)
+        elif coding == "deflate":
+            try:
+                data = zlib.decompress(data)
+            except zlib.error:
+                data = zlib.decompress(data, -zlib.MAX_WBITS)  # without the zlib header, as some servers send it
+        elif coding not in ("", "identity"):
+            raise ValueError(f"body: coding {coding}")
+    return data
 
 
 def parse_response(record: bytes | None) -> tuple[list[tuple[str, str]], str, list[tuple[str, str]], bytes]:

@@ -26,16 +26,32 @@ def test_held_out_accuracy(judged):
     assert all(r["out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for r in rows)
 
 
-def test_trains_on_all_that_is_not_held_out(judged):
+def test_trains_on_all_that_is_not_held_out(spark, judged):
     model, rows = judged
     words = {w for r in rows if not r["out"] for w in langid.tokens(r["text"])}
-    assert set(model.words) == words
+    assert set(model.words) <= words
+    sample = langid.training_sample(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+    assert set(langid.fit(sample, 10**7).words) == words
 
 
-def test_entries_are_bounded(documents):
-    frame = documents((1, "aa aa aa bb bb cc dd", "x"), (3, "aa bb ee", "y")).select("lang", "text")
-    assert set(langid.fit(frame, 2).words) == {"aa", "bb"} and set(langid.fit(frame, 3).words) == {"aa", "bb"}
-    assert len(langid.fit(frame, 5).words) == 5 and len(langid.fit(frame, 1).grams) <= 1
+def test_entries_are_bounded_for_each_language(documents):
+    frame = documents((1, "aa aa aa bb bb cc dd", "x"), (3, "aa bb ee ee", "y")).select("lang", "text")
+    of = lambda most: set(langid.fit(frame, most).words)
+    assert of(2) == {"aa", "ee"} and of(4) == {"aa", "bb", "ee"} and of(1) == set()
+    assert of(8) == {"aa", "bb", "cc", "dd", "ee"}
+
+
+def test_rare_languages_keep_their_words(documents):
+    full = [(i, " ".join(f"common{j}" for j in range(50)), "x") for i in range(1, 60)]
+    frame = documents(*full, (100, "seldom rare", "y")).select("lang", "text")
+    assert {"seldom", "rare"} <= set(langid.fit(frame, 40).words)
+
+
+@pytest.mark.parametrize("text", ["² ½", "Ⅳ", "123 _ ٣", "①"])
+def test_numerals_are_no_letters(documents, text):
+    model = langid.fit(documents((1, "same text", "b"), (3, "other words", "a")).select("lang", "text"))
+    assert langid.predict(model, text, {}) == ("und", 0.0)
+    assert langid.tokens(f"x{text}y") == ["x", "y"]
 
 
 def test_unseen_words_back_off(judged):

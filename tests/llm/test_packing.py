@@ -86,3 +86,9 @@ def test_odd_rows(odd, none):
     assert len(found) == 9 + -(-4000 * 31 // packing.CAPACITY)
     assert packing.pack(none).collect() == []
     assert packing.pack(none).columns == ["bin", "offset", "doc_id", "piece", "start", "length", "source"]
+
+
+def test_null_texts_conflict_with_nothing(documents):
+    made = packing.pack(documents((1, None, "en", None), (2, None, "en", None), (3, None, "en", None), (4, "", "en", None), (5, "", "en", None))).collect()
+    bins = {r["doc_id"]: r["bin"] for r in made}
+    assert len({bins[i] for i in (1, 2, 3)}) == 1 and bins[4] != bins[5]

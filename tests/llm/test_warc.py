@@ -52,6 +52,21 @@ def test_encodings():
         assert warc.derive(r)[1]["block"] == want
 
 
+def test_bodies_are_whole_or_say_why():
+    want, body = extract_text(HTML), HTML.encode()
+    raw = zlib.compressobj(wbits=-15)
+    for r in [
+        response(body, "Transfer-Encoding: chunked"), response(gzip.compress(gzip.compress(body)), "Content-Encoding: gzip, gzip"),
+        response(raw.compress(body) + raw.flush(), "Content-Encoding: deflate"), response(zlib.compress(gzip.compress(body)), "Content-Encoding: gzip, deflate"),
+        response(b"%x;x=y\r\n%s\r\n0\r\n\r\n" % (len(body), body), "Transfer-Encoding: chunked"), response(body, "Content-Encoding: identity"),
+    ]:
+        assert warc.derive(r)[1]["block"] == want
+    cut = b"7\r\n%s\r\n40\r\n%s" % (body[:7], body[7:20])
+    for r in [response(cut, "Transfer-Encoding: chunked"), response(b"7\r\n%s\r\n" % body[:7], "Transfer-Encoding: chunked"), response(body, "Content-Encoding: br"), response(body, "Content-Encoding: gzip, zstd")]:
+        (row,) = warc.derive(r)
+        assert row["record_type"] == "none" and row["problem"].startswith("body")
+
+
 @pytest.mark.parametrize(
     "record", [None, b"", b"junk", response(kind="request"), response(length=10**6), response(length="x"), response(b"zz", "Content-Encoding: gzip"), b"WARC/1.1\r\nWARC-Type: response\r\n\r\n"]
 )
