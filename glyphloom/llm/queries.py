@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe, htmltext, langid, packing, pii, quality, urlrules, vafile, warc
+from . import bktree, bpe, htmltext, langid, packing, pii, quality, secretscan, urlrules, vafile, warc
 from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,14 @@ def op9_best_fit(spark, folder):
 def op10_warc_derivatives(spark, folder):
     responses = warc.response_records(table(spark, folder, "pages"))
     return warc.derivatives(responses, keep=["page_id"])
+
+
+@query
+def op11_secrets(spark, folder):
+    ranks = secretscan.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = secretscan.with_spans(table(spark, folder, "documents"), ranks, keep=["doc_id"])
+    spans = F.col("spans")
+    of = lambda *kinds: F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secretscan.BASE]
+    base = of(*secretscan.BASE)
+    return found.select("doc_id", *counts, F.sha2(secretscan.listed(base).cast("binary"), 256).alias("base_sha256"), secretscan.listed(spans).alias("spans"))
