@@ -87,4 +87,31 @@ WITH texts AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND inside AS kept FROM judged
 """
 
-ORACLES = {"op5_quality": QUALITY, "op8_url_rules": URL_RULES}
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = rf"""
+WITH texts AS (
+  SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents
+), counted AS (
+  SELECT d, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM texts WHERE len(terms) > 0
+), corpus AS (
+  SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM counted
+), postings AS (
+  SELECT d, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT d, unnest(terms) AS term FROM counted) GROUP BY d, term
+), asked AS (
+  SELECT q, item_id, term, CAST(count(*) AS BIGINT) AS often
+  FROM (SELECT q, item_id, unnest(terms) AS term FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS terms FROM benchmark)) GROUP BY q, item_id, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus
+), scored AS (
+  SELECT q, item_id, doc_id, CAST(sum(often * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN postings USING (term) JOIN counted USING (d), corpus
+  GROUP BY q, item_id, d, doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""
+
+ORACLES = {"op5_quality": QUALITY, "op8_url_rules": URL_RULES, "op12_ranked_search": RANKED}

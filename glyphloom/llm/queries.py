@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe, htmltext, langid, packing, pii, quality, secretscan, urlrules, vafile, warc
+from . import bktree, bpe, htmltext, langid, lexical, packing, pii, quality, secretscan, urlrules, vafile, warc
 from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,8 @@ def op11_secrets(spark, folder):
     counts = [F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secretscan.BASE]
     base = of(*secretscan.BASE)
     return found.select("doc_id", *counts, F.sha2(secretscan.listed(base).cast("binary"), 256).alias("base_sha256"), secretscan.listed(spans).alias("spans"))
+
+
+@query
+def op12_ranked_search(spark, folder):
+    return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
