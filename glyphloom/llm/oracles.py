@@ -114,4 +114,65 @@ WITH texts AS (
 SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked WHERE place <= 10
 """
 
-ORACLES = {"op5_quality": QUALITY, "op8_url_rules": URL_RULES, "op12_ranked_search": RANKED}
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+#: CRC-32 bit by bit: each byte (0 or more) is mixed in, each -1 shifts.
+_CRC = """xor(list_reduce(
+  list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a >> 1, CAST(3988292384 AS BIGINT)) ELSE a >> 1 END), CAST(4294967295 AS BIGINT))"""
+
+
+def _tree(name: str, start: str) -> str:
+    """All nodes (tree, level, pos, n, node) above those of ``start`` on level 0, up to each tree's top."""
+    return f"""{name} AS (
+  {start}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, (any_value(n) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2
+)"""
+
+
+MERKLE = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce(lang, '') || CASE WHEN lang IS NULL THEN '0' ELSE '1' END AS tree, lang, {_leaf("n_chars")} AS leaf,
+    CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS presented
+  FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), {_tree("nodes", "SELECT tree, 0 AS level, pos, n, leaf AS node FROM placed")
+}, subroots AS (
+  SELECT tree, lang, node AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS place, count(*) OVER () AS langs
+  FROM nodes JOIN (SELECT DISTINCT tree, lang FROM leaves) USING (tree) WHERE n = 1
+), {_tree("upper_nodes", "SELECT 0 AS tree, 0 AS level, place AS pos, langs AS n, subroot AS node FROM subroots")
+}, whole AS (
+  SELECT node AS root FROM upper_nodes WHERE n = 1
+), every_level AS (
+  SELECT tree, level, pos, node, n FROM nodes
+  UNION ALL
+  SELECT s.tree, 1000 + u.level, u.pos, u.node, u.n FROM upper_nodes u, subroots s
+), starts AS (
+  SELECT p.doc_id, p.tree, p.pos, p.leaf, p.presented, s.subroot, s.place, row_number() OVER () AS r FROM placed p JOIN subroots s USING (tree)
+), partners AS (
+  SELECT r, l.level, k.node AS partner, spot
+  FROM (
+    SELECT starts.r, starts.tree, levels.level, (CASE WHEN levels.level < 1000 THEN starts.pos ELSE starts.place END) >> CAST(levels.level % 1000 AS BIGINT) AS spot
+    FROM starts JOIN (SELECT DISTINCT tree, level FROM every_level WHERE n > 1) levels USING (tree)
+  ) l LEFT JOIN every_level k ON k.tree = l.tree AND k.level = l.level AND k.pos = xor(l.spot, 1)
+), proofs AS (
+  SELECT r, sha256(coalesce(string_agg(coalesce(partner, ''), '' ORDER BY level), '')) AS proof_sha256,
+    list(struct_pack(partner := coalesce(partner, ''), lft := spot % 2 = 1) ORDER BY level) AS path
+  FROM partners GROUP BY r
+), folded AS (
+  SELECT starts.*, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(struct_pack(partner := presented, lft := false), coalesce(path, [])), lambda a, x:
+      struct_pack(partner := sha256(CASE WHEN x.lft THEN x.partner || a.partner ELSE a.partner || x.partner END), lft := false)).partner AS folded_root
+  FROM starts LEFT JOIN proofs USING (r)
+)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded, whole
+"""
+
+ORACLES = {"op5_quality": QUALITY, "op8_url_rules": URL_RULES, "op12_ranked_search": RANKED, "op13_merkle_manifest": MERKLE}

@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bktree, bpe, htmltext, langid, lexical, packing, pii, quality, secretscan, urlrules, vafile, warc
+from ..sources.scratch import scratch_folder
+from . import batches, bktree, bpe, htmltext, langid, lexical, merkle, packing, pii, quality, secretscan, urlrules, vafile, warc
 from .oracles import ORACLES as ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +110,20 @@ def op11_secrets(spark, folder):
 @query
 def op12_ranked_search(spark, folder):
     return lexical.rank(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_merkle_manifest(spark, folder):
+    documents = table(spark, folder, "documents")
+    fields = {c: F.col(c) for c in merkle.FIELDS}
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(changed, merkle.leaf_digest(list((fields | {"n_chars": F.col("n_chars") + 1}).values())))
+    rows = documents.select(F.col("lang").alias("tree"), F.col("doc_id").alias("key"), merkle.leaf_digest(list(fields.values())).alias("node"), tampered.alias("tampered"))
+    manifest = merkle.write_manifest(rows, scratch_folder(spark))
+    root = F.lit(manifest.root()).cast("string")
+    leaf, own = merkle.hex_text(F.col("node")), merkle.hex_text(F.coalesce("tampered", "node"))
+    leaves = manifest.paths(["key", "node", "tampered"])
+    subroots = batches.few(manifest.subroots().withColumnRenamed("tree", "subroot_tree"))
+    found = leaves.join(subroots, F.col("tree").eqNullSafe(F.col("subroot_tree")))
+    found = found.select(F.col("key").alias("doc_id"), leaf.alias("leaf"), "subroot", root.alias("root"), F.sha2(merkle.partners(F.col("path")).cast("binary"), 256).alias("proof_sha256"), merkle.fold(own, F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -1,23 +1,26 @@
 from __future__ import annotations
 
+import hashlib
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare
-from glyphloom.llm import bktree, pii, quality
+from glyphloom.llm import bktree, pii, quality, secretscan
 from glyphloom.llm.queries import ORACLES, QUERIES
 
 from .test_bktree import slow_components
 from .test_pii import slow_base
+from .test_secretscan import slow_base as slow_secrets
 from .test_vafile import brute
 
 FOLDER = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert len(corpus_pipeline.STAGES) == 5
 
@@ -47,6 +50,17 @@ def test_op4(spark):
     assert got == {(i, f"{f % (1 << 64):016x}", smallest[label[f]]) for i, f in prints.items()}
 
 
+def test_op11(spark):
+    texts = {d[0]: d[1] for d in rows("documents")}
+    found = QUERIES["op11_secrets"](spark, FOLDER).collect()
+    assert {r["doc_id"] for r in found} == set(texts) and any(r["n_assign"] for r in found)
+    for r in found:
+        want = slow_secrets(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in secretscan.BASE] == [sum(s[0] == k for s in want) for k in secretscan.BASE]
+        assert [s for s in r["spans"].split(",") if s.split(":")[0] in secretscan.BASE] == [f"{k}:{a}:{b}" for k, a, b in want]
+
+
 def test_op7(spark):
     texts = {d[0]: d[1] for d in rows("documents")}
     for r in QUERIES["op7_personal_data"](spark, FOLDER).collect():
