@@ -39,17 +39,19 @@ _PARSED_DDL = (
 
 # Names that are control flow rather than declarations, and how declarations begin,
 # always at a line start. What follows up to the opening brace is looked up, see _Ahead.
-CONTROL_WORDS = frozenset("if for while switch catch do else try with function".split())
+CONTROL_WORDS = frozenset(["if", "for", "while", "switch", "catch", "do", "else", "try", "with", "function"])
 NAME = r"[A-Za-z_$][\w$]*"
 JS_CLASS = rf"^[ \t]*(?:export\s+)?(?:default\s+)?class\s+(?P<name>{NAME})"
 JS_FUNCTION = (
-    r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*"
-    rf"(?P<name>{NAME})?\s*\("
+    r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*+\*?+\s*+"
+    rf"(?P<name>{NAME})?+\s*+\("
 )
 JS_ARROW = rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>{NAME})\s*(?=[:=])"
+# Modifiers may stand on lines of their own, and the last one is a name if a parenthesis follows. Where
+# no name with a parenthesis follows, ``head`` ends behind them: no line before it can begin a method.
 JS_METHOD = (
-    r"^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*"
-    rf"(?P<name>{NAME})\s*\("
+    r"^[ \t]*+(?P<head>(?:(?:public|private|protected|static|async|readonly|override|get|set)\s++(?!\())++)?+"
+    rf"(?:(?P<name>{NAME})(?P<opened>\s*+\()?|(?(head)|(?!)))"
 )
 DART_CLASS = rf"^[ \t]*(?:abstract\s+)?class\s+(?P<name>{NAME})"
 
@@ -71,7 +73,7 @@ _NEXT_TOKEN = re.compile(
     | `(?:[^`\\]|\\.)*+`?
     | //[^\n]*+
     | /\*(?:.*?\*/|.*)
-    | / )""",
+    | / | \Z )""",
     re.VERBOSE | re.DOTALL,
 )
 _NEWLINE = re.compile(r"\r\n|[\n\r]")
@@ -129,18 +131,33 @@ class _Ahead:
         return self.found
 
 
+class _Behind:
+    """End of what a pattern matches at a place; many declarations may ask about the same place."""
+
+    def __init__(self, pattern: str, text: str) -> None:
+        self.match, self.text = re.compile(pattern).match, text
+        self.known: dict[tuple[int, int], int | None] = {}
+
+    def __call__(self, at: int, end: int) -> int | None:
+        if (at, end) not in self.known:
+            m = self.match(self.text, at, end)
+            self.known[at, end] = m.end() if m else None
+        return self.known[at, end]
+
+
 def _spaces(covered: re.Match[str]) -> str:
     return " " * len(covered.group())
 
 
-_SPACE = re.compile(r"\s*+")
-_ARROW_VALUE = re.compile(r"=\s*(?:async\s*)?\(")
+_SPACE = r"\s*+"
+_ARROW_VALUE = r"=\s*+(?:async\s*+)?\("
 Tail = Callable[[str, int, int], int | None]  # text, end of the head, bound -> opening brace
 
 
 def _shape(head: str, tail: Callable[[str], Tail]) -> Callable[[str], Finder]:
     """Finder of a head at a line start whose tail leads to a brace."""
     compiled = re.compile(head, re.MULTILINE)
+    runs = "head" in compiled.groupindex
 
     def of(source: str) -> Finder:
         opening = tail(source)
@@ -148,10 +165,11 @@ def _shape(head: str, tail: Callable[[str], Tail]) -> Callable[[str], Finder]:
         def find(text: str, start: int, end: int) -> Hit | None:
             at = start
             while m := compiled.search(text, at, end):
-                brace = opening(text, m.end(), end)
+                whole = not runs or m["opened"] is not None
+                brace = opening(text, m.end(), end) if whole else None
                 if brace is not None and brace < end:
                     return m.start(), brace, m["name"]
-                at = m.start() + 1
+                at = max(m.start() + 1, m.end("head")) if runs else m.start() + 1
             return None
 
         return find
@@ -176,13 +194,13 @@ def _until_brace(stop: str = "{") -> Callable[[str], Tail]:
 
 def _after_parameters(source: str) -> Tail:
     """Parameters up to the next parenthesis, perhaps a type after a colon, a brace."""
-    parenthesis, brace = _Ahead(source, ")"), _Ahead(source, "{")
+    parenthesis, brace, space = _Ahead(source, ")"), _Ahead(source, "{"), _Behind(_SPACE, source)
 
     def opening(text: str, at: int, end: int) -> int | None:
         closed = parenthesis(at)
         if closed >= end:
             return None
-        at = _SPACE.match(text, closed + 1, end).end()
+        at = space(closed + 1, end)
         if text[at : at + 1] == ":":
             found = brace(at + 1)
             return found if found > at + 1 else None
@@ -194,6 +212,7 @@ def _after_parameters(source: str) -> Tail:
 def _arrow(source: str) -> Tail:
     """Perhaps a type, an equals sign, parameters, perhaps a type, an arrow, a brace."""
     equals, parenthesis = _Ahead(source, "="), _Ahead(source, ")")
+    space, opened = _Behind(_SPACE, source), _Behind(_ARROW_VALUE, source)
 
     def past_type(text: str, at: int, end: int) -> int | None:
         """From a colon to the next equals sign, with something between."""
@@ -204,14 +223,14 @@ def _arrow(source: str) -> Tail:
 
     def opening(text: str, at: int, end: int) -> int | None:
         at = past_type(text, at, end)
-        value = _ARROW_VALUE.match(text, at, end) if at is not None else None
-        closed = parenthesis(value.end()) if value else end
+        value = opened(at, end) if at is not None else None
+        closed = parenthesis(value) if value else end
         if closed >= end:
             return None
-        at = past_type(text, _SPACE.match(text, closed + 1, end).end(), end)
+        at = past_type(text, space(closed + 1, end), end)
         if at is None or text[at : at + 2] != "=>":
             return None
-        at = _SPACE.match(text, at + 2, end).end()
+        at = space(at + 2, end)
         return at if text[at : at + 1] == "{" else None
 
     return opening

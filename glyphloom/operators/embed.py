@@ -112,5 +112,6 @@ def embed_snippets(
     snippets: DataFrame, embedder: Embedder, batch_size: int = EMBED_BATCH
 ) -> DataFrame:
     """Add the ``embedding`` of each snippet's language, name and content."""
-    text = embedding_text(F.col("language"), F.col("name"), F.col("content"))
+    content = F.coalesce("content", F.lit(""))  # a row that stands for a file without snippets
+    text = embedding_text(F.col("language"), F.col("name"), content)
     return snippets.withColumn("embedding", embedder.as_column(text, batch_size))

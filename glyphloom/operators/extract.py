@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,16 +27,25 @@ def _as_snippets(rows: Column, kind: Column | None = None) -> Column:
     )
 
 
-def _explode(files: DataFrame, snippets: Column, id_length: int) -> DataFrame:
-    rows = files.select("file_path", "language", F.posexplode(snippets).alias("ordinal", "s"))
+def _explode(files: DataFrame, snippets: Column, id_length: int, carry: Iterable[str] = ()) -> DataFrame:
+    """One row per snippet. ``carry``: columns of the file to put beside its first snippet only.
+
+    With them a file without snippets has one row, without an id.
+    """
+    names = list(carry)
+    numbered = (F.posexplode_outer if names else F.posexplode)(snippets).alias("ordinal", "s")
+    rows = files.select("file_path", "language", *names, numbered)
+    first = F.coalesce(F.col("ordinal"), F.lit(0)) == 0
+    there = F.col("ordinal").isNotNull()
+    made = snippet_id(
+        F.col("file_path"),
+        F.col("s.start_line"),
+        F.col("s.end_line"),
+        F.col("s.content"),
+        length=id_length,
+    )
     return rows.select(
-        snippet_id(
-            F.col("file_path"),
-            F.col("s.start_line"),
-            F.col("s.end_line"),
-            F.col("s.content"),
-            length=id_length,
-        ).alias("id"),
+        (F.when(there, made) if names else made).alias("id"),
         "file_path",
         "s.start_line",
         "s.end_line",
@@ -43,14 +54,16 @@ def _explode(files: DataFrame, snippets: Column, id_length: int) -> DataFrame:
         "language",
         "s.content",
         "ordinal",
+        *(F.when(first, F.col(c)).alias(c) for c in names),
     )
 
 
-def _parsed(files: DataFrame) -> DataFrame:
+def _parsed(files: DataFrame, carry: Iterable[str] = ()) -> DataFrame:
     return files.select(
         "file_path",
         "language",
         "content",
+        *carry,
         parse_declarations(F.col("language"), F.col("content")).alias("parsed"),
     )
 
@@ -86,12 +99,14 @@ def extract_snippets(
     min_lines: int = MIN_BLOCK_LINES,
     id_length: int = ID_LENGTH,
     keep_blank: bool = True,
+    carry: Iterable[str] = (),
 ) -> DataFrame:
     """All snippets of every (file_path, language, content) row, in one narrow pass.
 
     Python and brace languages: declarations, then blocks of the rest. Other languages
     and Python that does not parse: blocks. ``ordinal`` breaks ties of ``start_line``.
-    ``keep_blank=False`` drops pieces that hold no text at all, which arise where a long
+    ``carry`` names columns of the file to put beside its first snippet; a file without snippets
+    then has one row, without an id. ``keep_blank=False`` drops pieces that hold no text at all, which arise where a long
     merged range is cut inside covered lines.
     """
     whole = blocks_of_column("content", max_lines, min_lines, LINE_BREAKS)
@@ -101,7 +116,7 @@ def extract_snippets(
         F.col("parsed").isNotNull(),
         F.concat(_as_snippets(F.col("parsed.declarations")), _as_snippets(rest, block)),
     ).otherwise(_as_snippets(whole, block))
-    rows = _explode(_parsed(files), snippets, id_length)
+    rows = _explode(_parsed(files, carry), snippets, id_length, carry)
     return rows if keep_blank else rows.where(F.col("content").rlike(NOT_BLANK))
 
 

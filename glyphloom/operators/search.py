@@ -196,11 +196,13 @@ def top_k(
     if k <= 0:
         scored = vectors.sparkSession.createDataFrame([], schema)
     else:
-        # written once: embedding queries may be costly, and they are measured before they are read
-        folder = f"{scratch_folder(queries.sparkSession)}/queries"
-        queries.write.parquet(folder)
-        queries = queries.sparkSession.read.schema(queries.schema).parquet(folder)
-        held = _read_bounded(queries, broadcast_bytes)
+        held = queries.limit(FEW_QUERIES + 1).toArrow()
+        if held.num_rows > FEW_QUERIES or held.nbytes > broadcast_bytes:
+            # written once: embedding queries may be costly, and they are measured before they are read
+            folder = f"{scratch_folder(queries.sparkSession)}/queries"
+            queries.write.parquet(folder)
+            queries = queries.sparkSession.read.schema(queries.schema).parquet(folder)
+            held = _read_bounded(queries, broadcast_bytes)
         if held is None:
             scored = _cells(vectors, queries, k, schema, cell_bytes)
         else:
@@ -208,6 +210,10 @@ def top_k(
     return rank_hits(scored).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
+#: Queries up to this number go to the driver straight away.
+FEW_QUERIES = 1_000
+
+
 def _matrix_bytes(df: DataFrame) -> int:
     """Bytes the vectors of a frame take as a float64 matrix with their keys."""
     return df.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).first()[0] or 0

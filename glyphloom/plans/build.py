@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from ..operators.embed import Embedder, embed_snippets
 from ..operators.extract import extract_snippets
 from ..operators.filters import indexable_files, passes_path
 from ..schema import EMBED_BATCH, ID_LENGTH, MAX_BLOCK_LINES, MAX_FILE_BYTES, MIN_BLOCK_LINES, NEW
-from ..sources.index import SnippetIndex, latest_version
+from ..sources.index import FILE_FACTS, SnippetIndex, buckets_for, latest_version
 from ..sources.tables import decode_files, hash_files
 
 STREAM_MARK = "stream "
@@ -59,6 +59,11 @@ class IndexOptions:
         rows = extract_snippets(texts, self.max_lines, self.min_lines, self.id_length)
         return embed_snippets(rows, embedder, self.batch_size)
 
+    def snippets_and_files(self, texts: DataFrame, embedder: Embedder) -> DataFrame:
+        """The same rows with mtime and hash beside each file's first one; a file without any has one without an id."""
+        rows = extract_snippets(texts, self.max_lines, self.min_lines, self.id_length, carry=FILE_FACTS)
+        return embed_snippets(rows, embedder, self.batch_size)
+
 
 @dataclass(frozen=True)
 class IndexChange:
@@ -80,19 +85,20 @@ def build_index(
     """Index ``files`` at ``path``, replacing what was there.
 
     ``files`` carries ``content`` itself, or ``read_content`` fetches it (a listed tree).
-    The manifest is written first: a file that changes while snippets are extracted then
-    shows a newer mtime to the next update. Counts come from the written tables.
+    The content is read once: snippets and the facts about their files are one write, from which
+    the file log and the counts are then taken. A mtime is that of the listing, so a file that changes
+    while snippets are extracted shows a newer one to the next update.
     """
-    index = latest_version(spark, path)
-    generation = index.new_generation()
+    before = latest_version(spark, path)
+    generation = before.new_generation()
     kept = options.keep(files)
-    texts = decode_files(read_content(kept) if read_content else kept)
-    log = hash_files(texts).withColumns({"status": F.lit(NEW), "known": F.lit(False)})
-    index.write_files(generation, log)
-    index.write_snippets(generation, options.snippets(texts, embedder))
-    written = index.file_log(generation)
+    texts = hash_files(decode_files(read_content(kept) if read_content else kept))
+    index = replace(before, width=None)
+    n_files, width = index.write_snippets(generation, options.snippets_and_files(texts, embedder))
+    index = replace(index, buckets=buckets_for(n_files))
+    index.write_files(generation, index.written(generation, facts=True).withColumns({"status": F.lit(NEW), "known": F.lit(False)}))
     # where streams have got to outlives a full build
     marks = {k: v for k, v in index.meta.items() if k.startswith(STREAM_MARK)}
     meta = {**marks, "model_name": embedder.name, "source_directory": source}
-    index = index.commit((generation,), written.count(), meta)
-    return IndexChange(index, build_summary(written, index.generation_snippets(generation)))
+    index = index.commit_whole(generation, n_files, width, meta)
+    return IndexChange(index, build_summary(index.file_log(generation), index.generation_snippets(generation)))

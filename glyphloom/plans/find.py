@@ -34,22 +34,29 @@ def find(
 
     ``queries`` is a text, several texts (numbered from 0) or a frame (query_id, text).
     """
+    most = None
     if not isinstance(queries, DataFrame):
         texts = [queries] if isinstance(queries, str) else list(queries)
-        rows = list(enumerate(texts))
+        rows, most = list(enumerate(texts)), top_k * len(texts)
         queries = index.spark.createDataFrame(rows, "query_id long, text string")
     model = embedder or embedder_named(index.meta["model_name"])
     hits = search(index, embed(queries, "text", model), top_k)
-    return present.format_hits(_with_snippets(index, hits))
+    return present.format_hits(_with_snippets(index, hits, most))
 
 
-def _with_snippets(index: SnippetIndex, hits: DataFrame) -> DataFrame:
-    """Join snippets to hits, which are written down first and measured.
+def _with_snippets(index: SnippetIndex, hits: DataFrame, most: int | None = None) -> DataFrame:
+    """Join snippets to hits. ``most``: how many there can be, if that is known.
 
-    Hits within the bound for broadcasts leave the snippets where they are. Where there are few,
+    A few hits are read to the driver, and their ids go to the reader. Others are written down first
+    and measured. Hits within the bound for broadcasts leave the snippets where they are. Where there are few,
     their ids also go to the reader, which tests them against bloom filters before it opens any
     content column. Many more meet the snippets by a shuffle of ids and hits.
     """
+    if most is not None and most <= _POINT_LOOKUPS:
+        rows = hits.collect()
+        ids = sorted({r["id"] for r in rows})
+        hits = F.broadcast(index.spark.createDataFrame(rows, hits.schema))
+        return present.hydrate(hits, index.snippets().where(F.col("id").isin(ids)))
     folder = f"{scratch_folder(index.spark)}/hits"
     hits.write.parquet(folder)
     hits = index.spark.read.schema(hits.schema).parquet(folder)

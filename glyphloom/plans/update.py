@@ -27,7 +27,8 @@ from ..operators.changes import (
     update_summary,
 )
 from ..operators.embed import Embedder, embedder_named
-from ..schema import CHANGED, NEW, REMOVED, SKIPPED
+from ..schema import CHANGED, FILE_LOG, NEW, REMOVED, SKIPPED
+from ..sources import folders
 from ..sources.index import SnippetIndex, compact_index, open_index
 from ..sources.tables import decode_files, hash_files
 from .build import IndexChange, IndexOptions, Reader
@@ -91,7 +92,7 @@ def apply_changes(
     """
     index = open_index(spark, path)
     embedder = _embedder_of(index, embedder)
-    folder = f"{index.staging()}/changes"
+    folder = index.staging()
     deleted = F.coalesce("deleted", F.lit(False))
     # contents that no row of this path can bring into the index need not be shuffled
     usable = options.takes_path(F.col("file_path")) & ~deleted
@@ -100,25 +101,28 @@ def apply_changes(
     newest_per_key(rows, "file_path", "turn").drop("turn").write.parquet(folder)
     newest = spark.read.parquet(folder)
     size = newest.agg(join_bytes(F.col("file_path"))).first()[0]
-    touched = broadcast_within(newest.select("file_path"), size)
+    touched, buckets = broadcast_within(newest.select("file_path"), size), index.buckets_of(newest)
     only = lambda known: known.join(touched, "file_path", "left_semi")
-    before = only(index.removals()).select("file_path", F.col("mtime").alias("removed_mtime"))
+    before = only(index.removals(buckets)).select("file_path", F.col("mtime").alias("removed_mtime"))
     newest = newest.join(before, "file_path", "left").where(
         F.coalesce(F.col("mtime") > F.col("removed_mtime"), F.lit(True))
     )
     kept = options.keep(newest.where("usable"))
     times = newest.select("file_path", F.col("mtime").alias("row_mtime"))
     listed = kept.select("file_path", "language", "mtime")
-    both = compare_files(listed, only(index.manifest())).join(times, "file_path")
+    both = compare_files(listed, only(index.manifest(buckets))).join(times, "file_path")
     late = F.coalesce(F.col("row_mtime") < F.col("known_mtime"), F.lit(False))
     differs = both.where((F.col("present") | F.col("known")) & ~same_mtime() & ~late)
-    # a removal is put on record under the time of its row
-    differs = differs.withColumn("mtime", F.col("row_mtime")).drop("row_mtime")
+    # a removal is put on record under the time of its row, or the last one known: older rows come too late
+    time = F.when(F.col("present"), F.col("row_mtime")).otherwise(F.coalesce("row_mtime", "known_mtime"))
+    differs = differs.withColumn("mtime", time).drop("row_mtime")
     unknown = newest.where("deleted").join(both.where("known"), "file_path", "left_anti")
     gone = unknown.select("file_path", "mtime").withColumns({"present": F.lit(False), "known": F.lit(False)})
     differs = differs.unionByName(gone, allowMissingColumns=True)
     meta = {**index.meta, **(marks or {})}
-    return _apply(index, differs, kept, None, embedder, options, meta)
+    change = _apply(index, differs, kept, None, embedder, options, meta)
+    folders.remove(spark, folder)
+    return change
 
 
 def _turn():
@@ -164,26 +168,35 @@ def _apply(
     texts.hint("rebalance").write.parquet(f"{staging}/texts")
     texts = spark.read.schema(_TEXTS).parquet(f"{staging}/texts")
 
-    log = staged.join(texts.select("file_path", "content_hash"), "file_path", "left")
-    index.write_files(generation, log.withColumn("status", file_status()))
-
-    later = SnippetIndex(spark, index.path, index.version, (*index.generations, generation))
-    log = later.file_log(generation)
+    log = staged.join(texts.select("file_path", "content_hash"), "file_path", "left").withColumn("status", file_status())
+    log.write.parquet(f"{staging}/log")
+    log = spark.read.schema(log.schema).parquet(f"{staging}/log")
     changed = log.where(F.col("status").isin(NEW, CHANGED)).select("file_path")
     changed = texts.join(broadcast_within(changed, found["size"]), "file_path", "left_semi")
-    index.write_snippets(generation, options.snippets(changed, embedder))
+    _, width = index.write_snippets(generation, options.snippets(changed, embedder))
+
+    empty = F.array().cast(FILE_LOG["places"].dataType)
+    fresh = F.when(F.col("status").isin(NEW, CHANGED, REMOVED), F.coalesce("places", empty))
+    placed = broadcast_within(index.written(generation), found["size"])
+    index.write_files(generation, log.join(placed, "file_path", "left").withColumn("places", fresh))
+    replaced = log.where(F.col("status").isin(CHANGED, REMOVED) & F.col("known")).select("file_path")
+    deleted = index.write_deletions(generation, broadcast_within(replaced, found["size"]))
 
     counts = log.groupBy("status", "known").count().collect()
     tally = {(r["status"], r["known"]): r["count"] for r in counts}
     added, changes = tally.get((NEW, False), 0), tally.get((CHANGED, True), 0)
     removed, skipped = tally.get((REMOVED, True), 0), tally.get((SKIPPED, True), 0)
     updated = index.commit(
-        later.generations,
-        index.files + added - removed,
-        meta,
-        index.logged + sum(tally.values()),
-        index.logged_bytes + found["size"],
+        generations=(*index.generations, generation),
+        files=index.files + added - removed,
+        logged=index.logged + sum(tally.values()),
+        logged_bytes=index.logged_bytes + found["size"],
+        deleted_bytes=index.deleted_bytes + deleted,
+        width=width,
+        meta=meta,
     )
+    folders.remove(spark, staging)
+    log = updated.file_log(generation)
     unchanged = F.lit(index.files - changes - removed - skipped).cast("long")
     summary = update_summary(log.where((F.col("status") != REMOVED) | F.col("known")), updated.generation_snippets(generation))
     summary = summary.withColumn("unchanged", unchanged)

@@ -27,10 +27,33 @@ MANIFEST = T.StructType(
         T.StructField("content_hash", T.StringType()),
     ]
 )
+#: Where a file's snippets lie: runs of rows in data files of the snippet table.
+PLACES = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("data_file", T.StringType()),
+            T.StructField("first", T.LongType()),
+            T.StructField("rows", T.LongType()),
+        ]
+    )
+)
 FILE_LOG = T.StructType(
     MANIFEST.fields
-    + [T.StructField("status", T.StringType()), T.StructField("known", T.BooleanType())]
+    + [
+        T.StructField("status", T.StringType()),
+        T.StructField("known", T.BooleanType()),
+        T.StructField("places", PLACES),
+    ]
 )
+#: Bitmap over ``CHUNK`` rows of a data file; a set bit is a row that no longer counts.
+DELETIONS = T.StructType(
+    [
+        T.StructField("data_file", T.StringType()),
+        T.StructField("chunk", T.LongType()),
+        T.StructField("words", T.ArrayType(T.LongType())),
+    ]
+)
+CHUNK = 4096
 
 NEW, CHANGED, TOUCHED = "NEW", "CHANGED", "TOUCHED"
 UNCHANGED, REMOVED, SKIPPED = "UNCHANGED", "REMOVED", "SKIPPED"
@@ -62,9 +85,35 @@ EXTENSIONS = {
     ".swift": "swift",
 }
 IGNORED_DIRS = frozenset(
-    """.git .hg .svn __pycache__ .pytest_cache .ruff_cache .mypy_cache .tox .nox
-    .venv venv env .env node_modules bower_components dist build .next .nuxt .output
-    target .idea .vscode .dart_tool coverage htmlcov .eggs""".split()
+    [
+        ".git",
+        ".hg",
+        ".svn",
+        "__pycache__",
+        ".pytest_cache",
+        ".ruff_cache",
+        ".mypy_cache",
+        ".tox",
+        ".nox",
+        ".venv",
+        "venv",
+        "env",
+        ".env",
+        "node_modules",
+        "bower_components",
+        "dist",
+        "build",
+        ".next",
+        ".nuxt",
+        ".output",
+        "target",
+        ".idea",
+        ".vscode",
+        ".dart_tool",
+        "coverage",
+        "htmlcov",
+        ".eggs",
+    ]
 )
 MAX_FILE_BYTES = 1_000_000
 MAX_BLOCK_LINES = 60

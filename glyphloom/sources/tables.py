@@ -49,13 +49,19 @@ def spread_scan(table: DataFrame) -> DataFrame:
 
 
 def decode_files(files: DataFrame) -> DataFrame:
-    """``content`` as text; rows that are binary or could not be read drop out."""
+    """``content`` as text; rows that are binary or could not be read drop out.
+
+    The text comes out of a generator, through which no filter is pushed down: what reads the content
+    is then evaluated once, also where it is a user's function.
+    """
     raw = F.col("content")
     if isinstance(files.schema["content"].dataType, T.BinaryType):
         text = decode_text(raw)
     else:
         text = F.when(~F.contains(raw, F.lit("\x00")), raw)
-    return files.withColumn("content", text).where(F.col("content").isNotNull())
+    decoded = F.filter(F.array(text), lambda t: t.isNotNull())
+    others = [c for c in files.columns if c != "content"]
+    return files.select(*others, F.explode(decoded).alias("content")).select(*files.columns)
 
 
 def hash_files(files: DataFrame) -> DataFrame:

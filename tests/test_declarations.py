@@ -201,10 +201,12 @@ def test_unfinished_declarations_take_linear_time(language, line):
 
 
 # The shapes in full, from a line start to the opening brace.
+PLAIN_METHOD = rf"^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set)\s+)*(?P<name>{D.NAME})\s*\("
+PLAIN_FUNCTION = rf"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(?P<name>{D.NAME})?\s*\("
 FULL_CLASS = D.JS_CLASS + r"[^{]*\{"
-FULL_FUNCTION = D.JS_FUNCTION + r"[^)]*\)\s*(?::[^{]+)?\{"
+FULL_FUNCTION = PLAIN_FUNCTION + r"[^)]*\)\s*(?::[^{]+)?\{"
 FULL_ARROW = D.JS_ARROW.removesuffix("(?=[:=])") + r"(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?:=>|:[^=]+=>)\s*\{"
-FULL_METHOD = D.JS_METHOD + r"[^)]*\)\s*(?::[^{]+)?\{"
+FULL_METHOD = PLAIN_METHOD + r"[^)]*\)\s*(?::[^{]+)?\{"
 FULL_DART_CLASS = D.DART_CLASS + r"[^{;]*\{"
 
 
@@ -214,7 +216,7 @@ FULL_DART_CLASS = D.DART_CLASS + r"[^{;]*\{"
 )
 def test_look_ups_equal_the_full_shapes(full, finder):
     rng = random.Random(full)
-    bits = ["class ", "A", "function ", "f", "(", ")", ":", "=", "=>", "{", "}", ";", " ", "\n", "const ", "let x", "async ", "export ", "static ", "* ", "b", "g(", ") {\n", "= (", "):"]
+    bits = ["class ", "A", "function ", "f", "(", ")", ":", "=", "=>", "{", "}", ";", " ", "\n", "const ", "let x", "async ", "export ", "static ", "get ", "set\n", "get", "* ", "b", "g(", ") {\n", "= (", "):"]
     plain = re.compile(full, re.MULTILINE)
     for _ in range(6000):
         text = "".join(rng.choices(bits, k=rng.randint(1, 30)))
@@ -228,6 +230,33 @@ def test_look_ups_equal_the_full_shapes(full, finder):
             start = m.end()
 
 
+SEQUENCES = ["function * f ( ) { }", "export default async function f ( ) : T {", "class A { }", "const a : T = async ( ) : T => {", "get m ( ) : T {", "abstract class A extends B {", "void f ( ) async * {"]
+
+
+@pytest.mark.parametrize("pad", [" ", "\n", " \n"])
+@pytest.mark.parametrize("sequence", SEQUENCES)
+def test_padded_shapes_take_linear_time(sequence, pad):
+    """Every place between two words, padded to a long file, at the top and in a class."""
+    words, blank = sequence.split(), pad * (1_000_000 // len(pad))
+    for i in range(len(words) - 1, -1, -2):
+        text = " ".join(words[: i + 1]) + blank + " ".join(words[i + 1 :])
+        for whole, language in ((text, "typescript"), (f"class Z {{\n{text}\n}}", "typescript"), (text, "dart")):
+            started = time.time()
+            D.parse_braces(whole, language)
+            assert time.time() - started < 5, (words[: i + 1], language)
+
+
+@pytest.mark.parametrize("word", ["get", "static", "export", "function", "const x:", "const x = (", "f(", "class A", "get m()", "void f() async", "x y", "A<"])
+def test_repeated_shapes_take_linear_time(word):
+    for separator in ("\n", " "):
+        for tail in ("", ")", "=", "("):
+            text = "class Z {\n" + (word + separator) * (300_000 // len(word + separator)) + tail + " " * 300_000 + "\n}"
+            for language in ("typescript", "dart"):
+                started = time.time()
+                D.parse_braces(text, language)
+                assert time.time() - started < 5, (separator, tail, language)
+
+
 def test_partners_of_passed_braces_equal_fresh_scans():
     rng = random.Random(8)
     for _ in range(3000):

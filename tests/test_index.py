@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,11 @@ from glyphloom.operators.embed import KeywordEmbedder
 from glyphloom.plans import find as finding
 from glyphloom.plans.build import IndexOptions, build_index
 from glyphloom.plans.update import apply_changes, update_index
-from glyphloom.sources.index import ConcurrentWriteError, compact_index, latest_version, open_index, read_version, vacuum, versions
+from glyphloom.schema import CHUNK
+from glyphloom.sources import index as stored_index
+from glyphloom.sources import scratch
+from glyphloom.sources.index import ConcurrentWriteError, compact_index, latest_version, open_index, read_version, vacuum, versions, write_index
+from glyphloom.sources.scratch import release_scratch
 from glyphloom.sources.tables import files_from_table
 from glyphloom.sources.tree import list_tree, read_tree, scan_tree
 from glyphloom.streaming.updates import stream_update
@@ -201,11 +206,132 @@ def test_of_two_writers_one_commits(spark, files, built, tmp_path):
     other.write_files(generation, other.file_log(other.generations[0]))
     other.write_snippets(generation, other.generation_snippets(other.generations[0]).where("false"))
     with pytest.raises(ConcurrentWriteError):
-        other.commit((generation,), 0, {})
+        other.commit_whole(generation, 0, None, {})
     assert state(open_index(spark, built.path)) == after
     assert update_index(spark, built.path, files(later())).summary.first()["unchanged"] == index.files - 1
 
 
+def test_build_reads_each_content_once(spark, files, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(content: pd.Series) -> pd.Series:
+        read.add(len(content))
+        return content
+
+    given = files({f"d{i % 5}/f{i}.py": (f"def f{i}(): pass\n" if i % 4 else "", 1.0) for i in range(40)})
+    once = lambda listed: listed.withColumn("content", F.pandas_udf(counted, "binary")("content"))
+    change = build_index(spark, str(tmp_path / "i"), given, MODEL, read_content=once)
+    assert read.value == 40
+    assert [tuple(r) for r in change.summary.collect()] == [(40, 30)] and change.index.files == 40
+    assert change.index.manifest().where("content_hash IS NULL OR mtime IS NULL").count() == 0
+    assert change.index.manifest().count() == 40 and change.index.snippets().count() == 30
+
+
+def exchanges_above_snippets(frame):
+    """Names of the shuffles between a scan of snippets and the result."""
+    found, path = [], []
+    for line in frame._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        path = [(d, x) for d, x in path if d < depth] + [(depth, line)]
+        if "snippets/generation=" in line:
+            found += [x for _, x in path if "Exchange" in x]
+    return found
+
+
+def test_reading_never_shuffles_snippets(spark, files, tmp_path):
+    many = {f"f{i}.py": (f"def f{i}():\n    pass\n\ndef g{i}():\n    pass\n", 1.0) for i in range(30)}
+    keep = IndexOptions(max_logged_share=100.0)
+    index = build_index(spark, str(tmp_path / "i"), files(many).repartition(4), MODEL).index
+    for turn in (2.0, 3.0):
+        many |= {f"f{i}.py": (f"def f{i}_{int(turn)}(): pass\n", turn) for i in range(int(turn), 30, 7)}
+        many.pop(f"f{int(turn) * 10}.py", None) if turn == 2.0 else many.pop("f0.py")
+        index = update_index(spark, index.path, files(many), options=keep).index
+    assert len(index.generations) == 3 and index.deleted_bytes > 0
+    fresh = build_index(spark, str(tmp_path / "fresh"), files(many), MODEL).index
+    assert state(index) == state(fresh)
+    for rows in (index.stored(), index.stored(broadcast_bytes=index.deleted_bytes // 2)):
+        assert sorted(r["id"] for r in rows.collect()) == sorted(r["id"] for r in fresh.stored().collect())
+        assert exchanges_above_snippets(rows) == []
+        assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bitmaps_span_chunks(spark, tmp_path):
+    """Files of many snippets, replaced one by one, across chunks of rows and data files."""
+    n = CHUNK + 200
+    stored = spark.range(n + 300).select(
+        F.concat(F.lit("id"), F.col("id").cast("string")).alias("id"),
+        F.when(F.col("id") < n, "big.go").otherwise(F.concat(F.lit("s"), (F.col("id") % 3).cast("string"), F.lit(".go"))).alias("file_path"),
+        F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit("block").alias("kind"), F.lit(None).cast("string").alias("name"),
+        F.lit("go").alias("language"), F.lit("x").alias("content"), F.lit(0).alias("ordinal"), F.array(F.lit(1.0).cast("float")).alias("embedding"),
+    ).repartition(3)
+    manifest = spark.createDataFrame([(p, 1.0, "h") for p in ("big.go", "s0.go", "s1.go", "s2.go")], "file_path string, mtime double, content_hash string")
+    index = write_index(spark, str(tmp_path / "i"), stored, manifest, {"model_name": "keyword:x", "source_directory": ""})
+    keep = IndexOptions(max_logged_share=100.0)
+    for i, (gone, left) in enumerate((("s1.go", n + 200), ("big.go", 200), ("s2.go", 100))):
+        rows = spark.createDataFrame([(gone, None, 2.0 + i, 0, True)], CHANGES)
+        index = apply_changes(spark, index.path, rows, options=keep).index
+        assert index.snippets().count() == left
+    assert {r["file_path"] for r in index.snippets().collect()} == {"s0.go"}
+
+
+def test_a_batch_opens_only_its_buckets(spark, files, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored_index, "BUCKET_FILES", 5)
+    opened = {}
+    for n in (20, 60):
+        index = build_index(spark, str(tmp_path / f"i{n}"), files({f"f{i}.py": (f"x{i} = 1\n", 1.0) for i in range(n)}), MODEL).index
+        assert index.buckets == n // 5 and len(os.listdir(f"{index.path}/files/generation={index.generations[0]}")) > n // 10
+        read = []
+        logs = stored_index.SnippetIndex._logs
+
+        def counted(self, generations, buckets=None, logs=logs, read=read):
+            rows = logs(self, generations, buckets)
+            read.extend(rows.inputFiles() if buckets is not None or generations[-1] in index.generations else [])  # noqa: B023
+            return rows
+
+        monkeypatch.setattr(stored_index.SnippetIndex, "_logs", counted)
+        after = changed(spark, index.path, ("f7.py", b"y = 2\n", 2.0, False), ("new.py", b"z = 1\n", 2.0, False), options=IndexOptions(max_logged_share=100.0))
+        monkeypatch.setattr(stored_index.SnippetIndex, "_logs", logs)
+        opened[n] = len({f for f in read if f.endswith(".parquet")})
+        assert after.files == n + 1 and after.snippets().count() == n + 1
+    assert opened[60] <= opened[20] <= 4
+
+
+def test_vectors_of_another_width_are_refused(spark, files, built, tmp_path):
+    class Uneven(KeywordEmbedder):
+        def as_column(self, text, batch_size=32):
+            even = super().as_column(text, batch_size)
+            return F.when(F.contains(text, F.lit("sorter")), F.slice(even, 1, 2)).otherwise(even)
+
+    with pytest.raises(ValueError, match="widths 2 to 4"):
+        build_index(spark, str(tmp_path / "uneven"), files(START), Uneven(MODEL.vocabulary))
+    assert versions(spark, str(tmp_path / "uneven")) == []
+
+    class Narrow(KeywordEmbedder):
+        def as_column(self, text, batch_size=32):
+            return F.slice(super().as_column(text, batch_size), 1, 2)
+
+    before = state(built)
+    with pytest.raises(ValueError, match="index holds 4"):
+        update_index(spark, built.path, files(later()), Narrow(MODEL.vocabulary))
+    assert state(open_index(spark, built.path)) == before and versions(spark, built.path) == [1]
+    assert build_index(spark, built.path, files(START), KeywordEmbedder(["a", "b"])).index.width == 2
+
+
+def test_nothing_is_left_behind(spark, files, built):
+    release_scratch()
+    index = update_index(spark, built.path, files(START | {"db.py": ("x = 1\n", 2.0)}), options=IndexOptions(max_logged_share=100.0)).index
+    changed(spark, built.path, ("feed.py", b"y = 1\n", 2.0, False), options=IndexOptions(max_logged_share=100.0))
+    assert finding.find(index, ["sort", "network"], 2).count() == 4
+    assert not os.path.exists(f"{built.path}/staged") or os.listdir(f"{built.path}/staged") == []
+    assert scratch._made == []
+    asked = spark.createDataFrame([(1, "sort")], "query_id long, text string")
+    assert finding.find(index, asked, 1).count() == 1
+    (folder,) = (str(place.toUri().getPath()) for place, _ in scratch._made)
+    assert os.path.exists(folder)
+    release_scratch()
+    assert not os.path.exists(folder)
+
+
 def test_find_and_show(spark, built):
     found = finding.find(built, ["Sort things", "a DATABASE"], 1).orderBy("query_id").collect()
     assert [(r["query_id"], r["rank"], r["name"]) for r in found] == [(0, 1, "sorter"), (1, 1, "Database")]
@@ -284,6 +410,13 @@ def test_older_rows_of_later_batches_change_nothing(spark, built):
     assert names(back) == ["Database", "Database.query", "gone", "net.go", "new"]
 
 
+def test_a_late_row_does_not_bring_a_deleted_file_back(spark, built):
+    gone = changed(spark, built.path, ("sort.py", None, None, True))
+    assert "sorter" not in names(gone)
+    assert "sorter" not in names(changed(spark, built.path, ("sort.py", b"def sorter(): pass\n", 1.0, False)))
+    assert "sorter" in names(changed(spark, built.path, ("sort.py", b"def sorter(): pass\n", 1.5, False)))
+
+
 def test_files_without_mtime_are_updated(spark, files, built):
     after = {"sort.py": ("def one(): pass\n", None), "new.py": ("def two(): pass\n", None)}
     assert names(update_index(spark, built.path, files(after)).index) == ["one", "two"]
