@@ -237,24 +237,24 @@ SEQUENCES = ["function * f ( ) { }", "export default async function f ( ) : T {"
 @pytest.mark.parametrize("sequence", SEQUENCES)
 def test_padded_shapes_take_linear_time(sequence, pad):
     """Every place between two words, padded to a long file, at the top and in a class."""
-    words, blank = sequence.split(), pad * (1_000_000 // len(pad))
+    words, blank = sequence.split(), pad * (300_000 // len(pad))
     for i in range(len(words) - 1, -1, -2):
         text = " ".join(words[: i + 1]) + blank + " ".join(words[i + 1 :])
         for whole, language in ((text, "typescript"), (f"class Z {{\n{text}\n}}", "typescript"), (text, "dart")):
             started = time.time()
             D.parse_braces(whole, language)
-            assert time.time() - started < 5, (words[: i + 1], language)
+            assert time.time() - started < 2, (words[: i + 1], language)
 
 
 @pytest.mark.parametrize("word", ["get", "static", "export", "function", "const x:", "const x = (", "f(", "class A", "get m()", "void f() async", "x y", "A<"])
 def test_repeated_shapes_take_linear_time(word):
     for separator in ("\n", " "):
         for tail in ("", ")", "=", "("):
-            text = "class Z {\n" + (word + separator) * (300_000 // len(word + separator)) + tail + " " * 300_000 + "\n}"
+            text = "class Z {\n" + (word + separator) * (100_000 // len(word + separator)) + tail + " " * 100_000 + "\n}"
             for language in ("typescript", "dart"):
                 started = time.time()
                 D.parse_braces(text, language)
-                assert time.time() - started < 5, (separator, tail, language)
+                assert time.time() - started < 2, (separator, tail, language)
 
 
 def test_partners_of_passed_braces_equal_fresh_scans():
