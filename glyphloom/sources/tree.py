@@ -1,35 +1,35 @@
 """Source trees on a mounted file system.
 
 Spark's own file sources skip every name that starts with "_" or ".", which would lose
-``__init__.py``. This data source lists a tree without reading it: the driver only opens
-directories until there are enough of them to share out, executors walk what lies below.
-Contents are read in a second step, by executors, for the files that are wanted.
+``__init__.py``. Here executors list a tree in rounds, without reading it: a task opens a bounded
+number of folders and hands on those it has not opened, which the next round deals out to all tasks
+again. So a large branch, however deep it begins, is listed by everybody, and the driver holds
+nothing but a count for each round. Contents are read in a second step, by executors, for the files
+that are wanted.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 from collections import deque
 from collections.abc import Iterable, Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.paths import split_patterns
 from ..operators.filters import indexable_files
 from ..schema import IGNORED_DIRS, MAX_FILE_BYTES
+from .scratch import scratch_folder
 
-_SPLIT_DIRS = 512
+#: Folders that a task opens in the first round, and at most in later ones. Each round opens more.
+FIRST_FOLDERS, MOST_FOLDERS = 256, 65_536
+_ROWS = 10_000
 _BATCH_BYTES = 32 << 20
-
-
-class _Folder(InputPartition):
-    def __init__(self, path: str, deep: bool) -> None:
-        self.path, self.deep = path, deep
+_LISTED = "file_path string, mtime double, size long, folder boolean"
 
 
 def _entries(folder: str) -> Iterator[os.DirEntry]:
@@ -43,52 +43,68 @@ def _entries(folder: str) -> Iterator[os.DirEntry]:
         return
 
 
-class _TreeReader(DataSourceReader):
-    def __init__(self, options: Mapping[str, str]) -> None:
-        self.root = options["path"]
-        self.ignored = set(json.loads(options["ignored"]))
-
-    def _entered(self, entry: os.DirEntry) -> bool:
-        return entry.name not in self.ignored and not entry.name.startswith(".") and entry.is_dir()
-
-    def partitions(self) -> list[InputPartition]:
-        """Folders to list; the driver holds names of folders only, never those of files."""
-        opened, waiting = [], deque([self.root])
-        while waiting and len(waiting) + len(opened) < _SPLIT_DIRS:
-            folder = waiting.popleft()
-            opened.append(folder)
-            waiting.extend(e.path for e in _entries(folder) if self._entered(e))
-        return [_Folder(p, False) for p in opened] + [_Folder(p, True) for p in waiting]
-
-    def read(self, partition: _Folder) -> Iterator[tuple[str, float, int]]:
-        waiting = [partition.path]
+def _opened(
+    folders: Iterator[str], root: str, ignored: set[str], limit: int
+) -> Iterator[tuple[str, float | None, int | None, bool]]:
+    """Files below ``folders``, and the folders that are left to open after ``limit`` of them."""
+    for given in folders:
+        if limit <= 0:
+            yield given, None, None, True
+            continue
+        waiting = deque([given])
         while waiting:
-            for entry in _entries(waiting.pop()):
-                if partition.deep and self._entered(entry):
-                    waiting.append(entry.path)
-                    continue
+            folder = waiting.popleft()
+            limit -= 1
+            for entry in _entries(os.path.join(root, folder)):
+                path = f"{folder}/{entry.name}" if folder else entry.name
                 try:
-                    if entry.is_file():
+                    path.encode("utf-8")
+                    if entry.name not in ignored and not entry.name.startswith(".") and entry.is_dir():
+                        if len(waiting) < limit:
+                            waiting.append(path)
+                        else:
+                            yield path, None, None, True
+                    elif entry.is_file():
                         stat = entry.stat()
-                        path = os.path.relpath(entry.path, self.root)
-                        path.encode("utf-8")
-                        yield path, stat.st_mtime, stat.st_size
+                        yield path, stat.st_mtime, stat.st_size, False
                 except (OSError, UnicodeEncodeError):
                     continue
 
 
-class FileTree(DataSource):
-    """``spark.read.format("file_tree")``: (file_path, mtime, size) of the files of a tree."""
+def _files_below(spark: SparkSession, root: str, ignored: set[str]) -> DataFrame:
+    """(file_path, mtime, size) of all files, written round by round and read again."""
+    place, slots = scratch_folder(spark), spark.sparkContext.defaultParallelism
+    folders, waiting, limit, rounds = spark.createDataFrame([("",)], "file_path string"), 1, FIRST_FOLDERS, []
+
+    def visitor(limit: int):
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            given = (path for batch in batches for path in batch.column("file_path").to_pylist())
+            held: list[tuple] = []
+            for row in _opened(given, root, ignored, limit):
+                held.append(row)
+                if len(held) == _ROWS:
+                    yield _batch(held)
+                    held = []
+            if held:
+                yield _batch(held)
+
+        return visit
 
-    @classmethod
-    def name(cls) -> str:
-        return "file_tree"
+    while waiting:
+        seen, target = Observation(), f"{place}/round-{len(rounds)}"
+        dealt = folders.repartition(min(waiting, 4 * slots), "file_path").mapInArrow(visitor(limit), _LISTED)
+        dealt.observe(seen, F.count_if("folder").alias("waiting")).write.parquet(target)
+        waiting = seen.get["waiting"]
+        rounds.append(target)
+        folders = spark.read.schema(_LISTED).parquet(target).where("folder").select("file_path")
+        limit = min(2 * limit, MOST_FOLDERS)
+    return spark.read.schema(_LISTED).parquet(*rounds).where(~F.col("folder")).drop("folder")
 
-    def schema(self) -> str:
-        return "file_path string, mtime double, size long"
 
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _TreeReader(self.options)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.float64(), pa.int64(), pa.bool_()]
+    columns = [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=["file_path", "mtime", "size", "folder"])
 
 
 def mounted_path(root: str) -> str:
@@ -118,15 +134,13 @@ def list_tree(
     """(file_path, mtime, size, language) of the indexable files below ``root``, unread.
 
     Symbolic links are not followed, unreadable folders hold nothing, ignored and hidden
-    folders are never entered. ``root`` must be mounted at the same place everywhere.
+    folders are never entered. ``root`` must be mounted at the same place everywhere. The tree
+    is listed once, when this is called; the listing is kept with the intermediate tables.
     """
     patterns = list(ignore_patterns or ())
     names = set(IGNORED_DIRS if ignore_dirs is None else ignore_dirs)
     names |= split_patterns(patterns)[0]
-    spark.dataSource.register(FileTree)
-    files = (
-        spark.read.format("file_tree").option("ignored", json.dumps(sorted(names))).load(_local(root))
-    )
+    files = _files_below(spark, _local(root), names)
     return indexable_files(files, languages, patterns, ignore_dirs, extensions, max_bytes)
 
 

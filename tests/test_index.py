@@ -13,6 +13,7 @@ from glyphloom.plans.update import apply_changes, update_index
 from glyphloom.schema import CHUNK
 from glyphloom.sources import index as stored_index
 from glyphloom.sources import scratch
+from glyphloom.sources import tree as tree_source
 from glyphloom.sources.index import ConcurrentWriteError, compact_index, latest_version, open_index, read_version, vacuum, versions, write_index
 from glyphloom.sources.scratch import release_scratch
 from glyphloom.sources.tables import files_from_table
@@ -492,6 +493,31 @@ def test_tree(spark, tree):
         list_tree(spark, str(tree / "absent"))
 
 
+def test_a_deep_branch_is_listed_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tree_source, "FIRST_FOLDERS", 3)
+    folder, want = tmp_path / "only", set()
+    for depth in range(12):
+        folder = folder / f"d{depth}"
+        for side in range(9):
+            (folder / f"s{side}" / "x").mkdir(parents=True)
+            (folder / f"s{side}" / "x" / f"f{depth}.py").write_text("x = 1\n")
+            want.add(os.path.relpath(folder / f"s{side}" / "x" / f"f{depth}.py", tmp_path))
+    (folder / ".hidden").mkdir()
+    (folder / ".hidden" / "no.py").write_text("x = 1\n")
+    os.symlink(tmp_path / "only", folder / "loop")
+    (folder / os.fsdecode(b"\xff")).mkdir()
+    listed = list_tree(spark, str(tmp_path))
+    assert sorted(r["file_path"] for r in listed.collect()) == sorted(want)
+    rounds = listed.select(F.regexp_extract(F.input_file_name(), "round-[0-9]+/part-[0-9]+", 0).alias("task")).distinct()
+    tasks = [r["task"] for r in rounds.collect()]
+    assert len({x.split("/")[0] for x in tasks}) > 2
+    assert len(tasks) >= 8
+
+
+def test_a_tree_without_files(spark, tmp_path):
+    assert list_tree(spark, str(tmp_path)).collect() == []
+
+
 def test_unreadable_file_drops_out(spark, tree):
     files = list_tree(spark, str(tree)).collect()
     listed = spark.createDataFrame(files)
