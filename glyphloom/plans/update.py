@@ -6,14 +6,16 @@ generation. From there on the classification is fixed, whatever is recomputed la
 extracts and embeds the kept texts of new and changed files. The commit makes all of it
 visible at once.
 
-What phase 2 costs: the scan of contents skips row groups outside the range of paths and mtimes
-that differ, and where at most ``PATH_LITERALS`` paths do, the paths themselves go to the reader.
-Many scattered changes in a table without order read all of its contents.
+What phase 2 costs: phase 1 notes the data file that each path was listed from, and the scan of
+contents opens those data files only (up to ``DATA_FILES`` of them). Within them it skips row groups
+outside the range of paths and mtimes that differ, and where at most ``PATH_LITERALS`` paths do, the
+paths themselves go to the reader. Changes in every data file of a table without order read all of
+its contents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +36,8 @@ from ..sources.tables import decode_files, hash_files
 from .build import IndexChange, IndexOptions, Reader
 
 PATH_LITERALS = 500
+#: Data files whose names are given to the listing of a scan.
+DATA_FILES = 10_000
 
 _ORDERED = ["file_path", "mtime"]
 _TEXTS = T.StructType(
@@ -66,12 +70,35 @@ def update_index(
     index = open_index(spark, path)
     embedder = _embedder_of(index, embedder)
     kept = options.keep(files)
-    listed = kept.select("file_path", "language", "mtime")
+    listed = kept.select("file_path", "language", "mtime", *located(kept))
     both = compare_files(listed, index.manifest())
     differs = both.where(~same_mtime())
     return _apply(index, differs, kept, read_content, embedder, options, index.meta)
 
 
+def located(files: DataFrame) -> list[Column]:
+    """The data file of each row, where the rows come straight from a table of data files."""
+    if "_metadata" in files.columns:
+        return []
+    hidden = files._jdf.queryExecution().analyzed().metadataOutput()
+    names = {hidden.apply(i).name() for i in range(hidden.size())}
+    return [F.col("_metadata.file_path").alias("data_file")] if "_metadata" in names else []
+
+
+def in_data_files(files: DataFrame, of: DataFrame) -> DataFrame:
+    """``files`` from the data files of ``of`` alone; the others are not opened.
+
+    All of them where ``of`` does not know its data files or names more than ``DATA_FILES``.
+    """
+    place = located(files)
+    if not place or "data_file" not in of.columns:
+        return files
+    rows = of.select("data_file").distinct().limit(DATA_FILES + 1).collect()
+    if len(rows) > DATA_FILES or any(r[0] is None for r in rows):
+        return files
+    return files.where(F.col("_metadata.file_path").isin([r[0] for r in rows]))
+
+
 def apply_changes(
     spark: SparkSession,
     path: str,
@@ -156,6 +183,7 @@ def _apply(
     if read_content is not None:
         contents = read_content(wanted)
     else:
+        kept = in_data_files(kept, staged.where(present))
         # lets the scan skip row groups, whole ones when only the latest changed
         for c in _ORDERED if not found["untimed"] else _ORDERED[:1]:
             kept = kept.where(F.col(c).between(F.lit(found[f"low_{c}"]), F.lit(found[f"high_{c}"])))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.operators.embed import KeywordEmbedder
 from glyphloom.plans import find as finding
+from glyphloom.plans import update
 from glyphloom.plans.build import IndexOptions, build_index
 from glyphloom.plans.update import apply_changes, update_index
 from glyphloom.schema import CHUNK
@@ -256,6 +257,54 @@ def test_reading_never_shuffles_snippets(spark, files, tmp_path):
         assert "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
 
 
+def scanned(frame):
+    """(data files, bytes) that a scan opens."""
+    run = frame._jdf.queryExecution()
+    run.toRdd().count()
+    leaf = run.executedPlan().collectLeaves().head()
+    return tuple(leaf.metrics().apply(m).value() for m in ("numFiles", "filesSize"))
+
+
+def test_an_update_opens_only_data_files_that_changed(spark, tmp_path, monkeypatch):
+    """Scattered paths and mtimes: neither tells the data files apart, their names do."""
+    rows = [(f"f{i}.py", f"def f{i}(): pass\n".encode(), float(i * 7919 % 1000)) for i in range(400)]
+    table = spark.createDataFrame(rows, "path string, bytes binary, time double").repartition(40, "path")
+    table.write.parquet(str(tmp_path / "files"))
+    moved = ["f17.py", "f205.py", "f399.py"]
+    found, inner = [], update.in_data_files
+
+    def kept(files, of):
+        found.append(inner(files, of))
+        return found[-1]
+
+    monkeypatch.setattr(update, "in_data_files", kept)
+    monkeypatch.setattr(update, "PATH_LITERALS", 0)
+    read = lambda: files_from_table(spark.read.parquet(str(tmp_path / "files")), "path", "bytes", "time")
+    now = lambda: read().withColumn("mtime", F.col("mtime") + F.col("file_path").isin(moved).cast("int") * 5000)
+    index = build_index(spark, str(tmp_path / "i"), read(), MODEL).index
+    change = update_index(spark, index.path, now())
+    assert change.summary.first().asDict() == {"added": 0, "changed": 0, "removed": 0, "unchanged": 400, "snippets_indexed": 0}
+    assert [r["mtime"] for r in change.index.manifest().where(F.col("file_path") == "f17.py").collect()] == [17 * 7919 % 1000 + 5000.0]
+    opened, whole = scanned(found[0]), scanned(read())
+    assert whole[0] > 30 and opened[0] <= 3 and opened[1] < whole[1] / 8
+    assert state(change.index) == state(build_index(spark, str(tmp_path / "fresh"), now(), MODEL).index)
+
+
+def test_data_files_are_used_where_they_are_known(spark, tmp_path, monkeypatch):
+    spark.range(20).select(F.col("id").alias("x")).repartition(4).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    places = table.select("x", *update.located(table))
+    one = places.where("x = 7")
+    assert scanned(update.in_data_files(table, one))[0] == 1
+    assert update.in_data_files(table, one.drop("data_file")) is table
+    assert update.in_data_files(table, one.withColumn("data_file", F.lit(None).cast("string"))) is table
+    assert update.in_data_files(table, places.where("false")).count() == 0
+    monkeypatch.setattr(update, "DATA_FILES", 2)
+    assert update.in_data_files(table, places) is table
+    # neither joined rows nor a column of that name are places
+    assert update.located(table.union(table)) == [] == update.located(table.withColumn("_metadata", F.lit(1)))
+
+
 def test_bitmaps_span_chunks(spark, tmp_path):
     """Files of many snippets, replaced one by one, across chunks of rows and data files."""
     n = CHUNK + 200
