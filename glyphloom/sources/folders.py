@@ -28,12 +28,45 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+#: Object stores: a rename there is a copy and a deletion, but an object appears when its stream is
+#: closed, and the store itself refuses to create one that exists.
+OBJECT_STORES = {"s3", "s3a", "s3n", "gs", "oss", "cosn", "obs"}
+
+
 def write_new(spark: SparkSession, path: str, text: str) -> None:
     """Write a file that appears whole and at once, or raise FileExistsError.
 
-    The text goes to a file of its own, which is then renamed without overwriting.
+    On a file system the text goes to a file of its own, which is then renamed without overwriting;
+    on an object store it is put under its name on condition that there is nothing.
     """
     place, store = _store(spark, path)
+    put = _put_if_absent if store.getScheme() in OBJECT_STORES else _rename_draft
+    try:
+        put(spark, store, place, text)
+    except Py4JJavaError as e:
+        cause = e.java_exception
+        while cause is not None:
+            if any(name in cause.getClass().getName() for name in _TAKEN):
+                raise FileExistsError(path) from None
+            cause = cause.getCause()
+        raise
+
+
+#: Java exceptions that say that a name is taken.
+_TAKEN = ("FileAlreadyExistsException", "PathExistsException", "RemoteFileChangedException")
+
+
+def _put_if_absent(spark: SparkSession, store, place, text: str) -> None:
+    """The condition holds when the stream is closed: a client that cannot ask for that on S3 is refused."""
+    builder = store.createFile(place).overwrite(False).recursive()
+    option = builder.must if store.getScheme().startswith("s3") else builder.opt
+    stream = option("fs.option.create.conditional.overwrite", True).build()
+    # a stream that is closed after an error would put what it has got so far: one write, then the close
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
+def _rename_draft(spark: SparkSession, store, place, text: str) -> None:
     jvm = spark._jvm
     draft = jvm.org.apache.hadoop.fs.Path(place.getParent(), f"_draft-{uuid.uuid4().hex}")
     stream = store.create(draft, False)
@@ -47,10 +80,8 @@ def write_new(spark: SparkSession, path: str, text: str) -> None:
     options[0] = rename.NONE
     try:
         context.rename(store.makeQualified(draft), store.makeQualified(place), options)
-    except Py4JJavaError as e:
+    except Py4JJavaError:
         store.delete(draft, False)
-        if "FileAlreadyExistsException" in str(e.java_exception.getClass().getName()):
-            raise FileExistsError(path) from None
         raise
 
 

@@ -7,7 +7,7 @@
     <path>/staged/S                       working tables of one attempt, removed after its commit
 
 Every attempt writes under names of its own (version and a random part). The commit file names
-them and appears by one rename that never overwrites: of two writers that started from the same
+them and appears at once and never over another (by a rename, on object stores by a conditional put): of two writers that started from the same
 version one commits, the other gets ConcurrentWriteError and leaves folders that no commit names.
 Leftovers of lost attempts are never read and never in the way; ``vacuum`` removes them together
 with versions that are no longer wanted.
