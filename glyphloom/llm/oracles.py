@@ -26,13 +26,16 @@ _MEASURES = {
     "dup_lines": "1000 * n_dup_lines // greatest(n_lines, 1)",
     "repeats": "1000 * n_repeat_words // greatest(n_words, 1)",
 }
-_SLACK = {"word_length": 100, "symbols": 10, "dup_lines": 100, "repeats": 50}
+_SLACK = {"word_length": 100, "symbols": 10, "dup_lines": 30, "repeats": 15}
+_TAILED = ("dup_lines", "repeats")
+_BASE_FAILED = "(n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
 
 
 def _quartiles(by: str) -> str:
     columns = f"{by}, " if by else ""
     return f"""
-  SELECT {columns}measure, docs, min(CASE WHEN 4 * seen >= docs THEN bucket END) AS b1, min(CASE WHEN 4 * seen >= 3 * docs THEN bucket END) AS b3
+  SELECT {columns}measure, docs, min(CASE WHEN 4 * seen >= docs THEN bucket END) AS b1, min(CASE WHEN 4 * seen >= 3 * docs THEN bucket END) AS b3,
+    min(CASE WHEN 100 * seen >= 99 * docs THEN bucket END) AS b99
   FROM (
     SELECT {columns}measure, bucket, sum(count(*)) OVER (PARTITION BY {columns}measure ORDER BY bucket) AS seen, sum(count(*)) OVER (PARTITION BY {columns}measure) AS docs
     FROM cells GROUP BY {columns}measure, bucket
@@ -43,8 +46,10 @@ def _floor(b: str) -> str:
     return f"(CASE WHEN {b} < 64 THEN {b} ELSE ({b} % 32 + 32) * (1 << ({b} // 32 - 1)) END)"
 
 
-_CELLS = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CAST({v} AS BIGINT) AS v FROM counts WHERE n_words > 0" for k, v in _MEASURES.items())
-_FENCES = ", ".join(f"max(CASE WHEN measure = '{k}' THEN q3 + 6 * greatest(q3 - q1, {s}) END) AS high_{k}" for k, s in _SLACK.items())
+_CELLS = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, CAST({v} AS BIGINT) AS v FROM counts WHERE NOT {_BASE_FAILED}" for k, v in _MEASURES.items())
+_FENCES = ", ".join(
+    f"max(CASE WHEN measure = '{k}' THEN greatest(q3 + 6 * greatest(q3 - q1, {s}), {'tail' if k in _TAILED else 0}) END) AS high_{k}" for k, s in _SLACK.items()
+)
 _INSIDE = " AND ".join(f"{v} <= high_{k}" for k, v in _MEASURES.items())
 
 QUALITY = rf"""
@@ -73,14 +78,15 @@ WITH texts AS (
 ), used AS (
   SELECT own.lang, own.source, own.measure,
     CASE WHEN own.docs >= 100 THEN own.b1 WHEN wider.docs >= 100 THEN wider.b1 ELSE widest.b1 END AS b1,
-    CASE WHEN own.docs >= 100 THEN own.b3 WHEN wider.docs >= 100 THEN wider.b3 ELSE widest.b3 END AS b3
+    CASE WHEN own.docs >= 100 THEN own.b3 WHEN wider.docs >= 100 THEN wider.b3 ELSE widest.b3 END AS b3,
+    CASE WHEN own.docs >= 100 THEN own.b99 WHEN wider.docs >= 100 THEN wider.b99 ELSE widest.b99 END AS b99
   FROM own JOIN wider ON own.lang IS NOT DISTINCT FROM wider.lang AND own.measure = wider.measure JOIN widest ON own.measure = widest.measure
 ), floors AS (
-  SELECT lang, source, measure, {_floor("b1")} AS q1, {_floor("b3")} AS q3 FROM used
+  SELECT lang, source, measure, {_floor("b1")} AS q1, {_floor("b3")} AS q3, {_floor("(b99 + 1)")} - 1 AS tail FROM used
 ), fences AS (
   SELECT lang, source, {_FENCES}, max(CASE WHEN measure = 'word_length' THEN q1 // 2 END) AS low_word_length FROM floors GROUP BY lang, source
 ), judged AS (
-  SELECT counts.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  SELECT counts.*, {_BASE_FAILED} AS base_failed,
     coalesce({_INSIDE} AND {_MEASURES["word_length"]} >= low_word_length, true) AS inside
   FROM counts LEFT JOIN fences ON counts.lang IS NOT DISTINCT FROM fences.lang AND counts.source IS NOT DISTINCT FROM fences.source
 )

@@ -4,8 +4,10 @@ Each document gives counts (words, symbols, repeated lines, repeated passages) a
 whole-number measures. A sketch per language, source and measure counts the documents in buckets
 whose width is 1/32 of their value or less, so a quantile is known to about 3 %. Sketches merge by
 adding counts: Spark adds them up before its shuffle, a hot source costs no more than a small one,
-and the sketch of a language or of everything is the sum of its parts. Fences follow from the
-quartiles of the group, and a join brings them to its documents.
+and the sketch of a language or of everything is the sum of its parts. Sketches hold the documents that
+pass the base rules. Fences follow from the quartiles of the group, and a join brings them to its
+documents. Repeated lines and passages are absent from most documents, so that their quartiles say
+little: their fence is no lower than the value that 99 of 100 documents of the group do not exceed.
 
 Defined results: null and empty texts have no words and fail; a null language or source is a group
 of its own; repeated rows count as often as they occur; an empty table gives an empty result.
@@ -31,8 +33,10 @@ MAX_REPEAT_PERCENT = 30
 MIN_GROUP = 100
 #: Fence: quartile and so many quartile distances; the distance counts as at least ``slack``.
 SPREAD = 6
-#: measure -> (slack of the quartile distance, whether low values fail too)
-MEASURES = {"word_length": (100, True), "symbols": (10, False), "dup_lines": (100, False), "repeats": (50, False)}
+#: measure -> (slack of the quartile distance, whether low values fail too, whether the fence is at the tail or above)
+MEASURES = {"word_length": (100, True, False), "symbols": (10, False, False), "dup_lines": (30, False, True), "repeats": (15, False, True)}
+#: Documents of 100 that a fence at the tail leaves inside.
+TAIL = 99
 COUNT_NAMES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words"]
 COUNTS = ", ".join(f"{c} long" for c in COUNT_NAMES)
 
@@ -107,41 +111,43 @@ def sketches(counted: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Per group and measure: documents, and the first and third quartile (least value of their bucket)."""
+    """Per group and measure: documents, first and third quartile (least value of their bucket), tail (greatest one)."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     # a group has at most some hundreds of buckets per measure, however many documents it has
     cells = merged.groupBy(*by, "measure").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"), F.sum("n").alias("docs"))
 
     def at(share: int) -> Column:
-        """The bucket with the first cumulated count of share quarters of the documents or more."""
+        """The bucket with the first cumulated count of share hundredths of the documents or more."""
         zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("int").alias("found"))
 
         def step(state: Column, cell: Column) -> Column:
             seen = state["seen"] + cell["n"]
-            found = F.when(state["found"].isNull() & (4 * seen >= share * F.col("docs")), cell["bucket"]).otherwise(state["found"])
+            found = F.when(state["found"].isNull() & (100 * seen >= share * F.col("docs")), cell["bucket"]).otherwise(state["found"])
             return F.struct(seen.alias("seen"), found.alias("found"))
 
-        return bucket_floor(F.aggregate("cells", zero, step, lambda s: s["found"]))
+        return F.aggregate("cells", zero, step, lambda s: s["found"])
 
-    return cells.select(*by, "measure", "docs", at(1).alias("q1"), at(3).alias("q3"))
+    found = {"q1": bucket_floor(at(25)), "q3": bucket_floor(at(75)), "tail": bucket_floor(at(TAIL) + 1) - 1}
+    return cells.select(*by, "measure", "docs", *(v.alias(k) for k, v in found.items()))
 
 
 def fences(counted: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
     """Per language and source: ``low_<measure>`` and ``high_<measure>``, outside of which a document fails."""
-    sketch = sketches(counted.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), *COUNT_NAMES), ["g_lang", "g_source"])
+    sketch = sketches(counted.where(~base_failed()).select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), *COUNT_NAMES), ["g_lang", "g_source"])
     own = quartiles(sketch, ["g_lang", "g_source"])
-    wider = quartiles(sketch, ["g_lang"]).select(F.col("g_lang").alias("w_lang"), F.col("measure").alias("w_measure"), F.struct("docs", "q1", "q3").alias("w"))
-    widest = quartiles(sketch, []).select(F.col("measure").alias("a_measure"), F.struct("docs", "q1", "q3").alias("a"))
+    wider = quartiles(sketch, ["g_lang"]).select(F.col("g_lang").alias("w_lang"), F.col("measure").alias("w_measure"), F.struct("docs", "q1", "q3", "tail").alias("w"))
+    widest = quartiles(sketch, []).select(F.col("measure").alias("a_measure"), F.struct("docs", "q1", "q3", "tail").alias("a"))
     rows = own.join(wider, F.col("g_lang").eqNullSafe(F.col("w_lang")) & (F.col("measure") == F.col("w_measure")))
     rows = rows.join(widest, F.col("measure") == F.col("a_measure"))
-    mine = F.struct("docs", "q1", "q3")
+    mine = F.struct("docs", "q1", "q3", "tail")
     used = F.when(F.col("docs") >= min_group, mine).when(F.col("w.docs") >= min_group, F.col("w")).otherwise(F.col("a"))
     rows = rows.select("g_lang", "g_source", "measure", used.alias("u"))
     sides = []
-    for name, (slack, two_sided) in MEASURES.items():
+    for name, (slack, two_sided, tail) in MEASURES.items():
         spread = SPREAD * F.greatest(F.col("u.q3") - F.col("u.q1"), F.lit(slack))
-        here = F.col("measure") == name
-        sides.append(F.max(F.when(here, F.col("u.q3") + spread)).alias(f"high_{name}"))
+        here, high = F.col("measure") == name, F.col("u.q3") + spread
+        high = F.greatest(high, F.col("u.tail")) if tail else high
+        sides.append(F.max(F.when(here, high)).alias(f"high_{name}"))
         if two_sided:
             # shares cannot fall below nothing; a length fails below half its first quartile
             sides.append(F.max(F.when(here, F.expr("u.q1 DIV 2"))).alias(f"low_{name}"))

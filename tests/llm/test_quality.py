@@ -70,6 +70,21 @@ def test_fences_follow_their_source(documents):
     assert all(judged[i] for i in range(150)) and not any(judged[1000 + i] for i in range(5)) and all(judged[1005 + i] for i in range(145))
 
 
+def test_repeats_are_judged_by_the_tail_of_their_group(documents):
+    rng = random.Random(11)
+
+    def text(repeated, lines):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(100)]
+        words[50 : 50 + repeated] = words[:repeated]
+        return "\n".join([" ".join(words), *(f"line {i // 2 if lines else rng.random()}" for i in range(10))])
+
+    # most texts of source a repeat a passage of ten words, in source b two of 150 do; both rules count a line twice in one text
+    rows = [(i, text(10, i == 3), "en", "a") for i in range(150)] + [(1000 + i, text(10 if i < 2 else 0, i == 3), "en", "b") for i in range(250)]
+    judged = {r["doc_id"]: r for r in quality.judge_quality(documents(*rows)).collect()}
+    assert not any(r["base_failed"] for r in judged.values())
+    assert sorted(i for i, r in judged.items() if not r["kept"]) == [3, 1000, 1001, 1003]
+
+
 def test_odd_rows(odd, none):
     judged = quality.judge_quality(odd).collect()
     assert len(judged) == 10
