@@ -4,7 +4,9 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glyphloom.operators import declarations as D
 from glyphloom.operators.extract import (
@@ -294,6 +296,31 @@ def test_dispatch(texts):
     assert [r[:2] for r in rows_of(leftovers(files))] == [("a.py", "block"), ("c.js", "block"), ("f.dart", "block")]
 
 
+def test_rows_leave_the_worker_in_pieces():
+    """A batch of any size: what its texts become is held for a bounded number of characters."""
+    body = "def f():\n    return 1\n" + "# x\n" * (D.PIECE_CHARS // 40)
+    texts = [body, None, body, ""] * 20
+    batch = pa.array(["python"] * len(texts)), pa.array(texts)
+    pieces = list(D._parsed_pieces(iter([batch, (batch[0][:0], batch[1][:0]), batch])))
+    assert sum(map(len, pieces)) == 2 * len(texts)
+    sizes = [sum(len(x.as_py()["leftover"]) for x in p if x.is_valid) for p in pieces]
+    assert max(sizes) < 1.2 * D.PIECE_CHARS and len(pieces) > 4
+    rows = [x for p in pieces for x in p.to_pylist()]
+    assert [None if x is None else len(x["declarations"]) for x in rows] == [1, None, 1, 0] * 40
+
+
+def test_pieces_keep_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_CHARS", 50)
+    code = F.format_string("def f%d():\n    return %d\n\nx = %d\ny = 1\nz = 2\n", "id", "id", "id")
+    files = spark.range(0, 500, 1, 1).select(
+        F.concat(F.lit("d"), "id").alias("file_path"),
+        F.when(F.col("id") % 7 == 3, "go").otherwise("python").alias("language"),
+        code.alias("content"),
+    )
+    names = {r["file_path"]: r["name"] for r in extract_snippets(files).where(F.col("kind") == "function").collect()}
+    assert names == {f"d{i}": f"f{i}" for i in range(500) if i % 7 != 3}
+
+
 def test_class_comes_before_its_first_line_method(texts):
     files = texts(("a.js", "javascript", "class A { f() {\n} }\nclass B {\n  g() {} }\n"))
     assert [r[2] for r in rows_of(extract_snippets(files))] == ["A", "B", "B.g"]
