@@ -319,6 +319,8 @@ def test_pieces_keep_their_rows(spark, monkeypatch):
     )
     names = {r["file_path"]: r["name"] for r in extract_snippets(files).where(F.col("kind") == "function").collect()}
     assert names == {f"d{i}": f"f{i}" for i in range(500) if i % 7 != 3}
+    rest = {r["file_path"]: r["content"] for r in leftovers(files.where(F.col("language") == "python")).collect()}
+    assert rest == {f"d{i}": f"x = {i}\ny = 1\nz = 2" for i in range(500) if i % 7 != 3}
 
 
 def test_class_comes_before_its_first_line_method(texts):
