@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,11 +17,11 @@ LINE_BREAKS = r"\r\n|[\n\x0B\f\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 NEWLINES = r"\r\n|[\n\r]"
 _SPACE = r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 NOT_BLANK = f"[^{_SPACE}]"
-# "Holds a line boundary other than \\n". Written as what is left when the ranges of ordinary
-# characters are taken away: most characters then fail on the first comparison.
+# The line boundaries other than \\n. Each is looked for by its bytes, which together is several times
+# faster than one regex over all characters.
 _OTHER_BREAKS = {
-    LINE_BREAKS: r"[^\x20-\x84\x{86}-\x{2027}\x{202A}-\x{10FFFF}\t\n\x00-\x08\x0E-\x1B\x1F]",
-    NEWLINES: r"\r",
+    LINE_BREAKS: ("\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"),
+    NEWLINES: ("\r",),
 }
 TRAILING_SPACE = rf"[{_SPACE}]+\z"
 
@@ -44,6 +46,14 @@ def decode_text(raw: Column) -> Column:
     )
 
 
+def has_text(line: Column) -> Column:
+    """Whether a string holds a character that is not white space.
+
+    Plain spaces in front go first: a blanked-out line can be long, and the regex would try each of them.
+    """
+    return F.ltrim(line).rlike(NOT_BLANK)
+
+
 def split_lines(text: Column, breaks: str = LINE_BREAKS) -> Column:
     """Array of lines; a final line break opens no further line, "" has no lines.
 
@@ -51,7 +61,7 @@ def split_lines(text: Column, breaks: str = LINE_BREAKS) -> Column:
     which only texts with unusual breaks need.
     """
     parts = lambda t: F.when(
-        t.rlike(_OTHER_BREAKS[breaks]), F.split(t, breaks, -1)
+        reduce(or_, [F.contains(t, F.lit(c)) for c in _OTHER_BREAKS[breaks]]), F.split(t, breaks, -1)
     ).otherwise(F.split(t, "\n", -1))
     return let(
         let(text, parts),

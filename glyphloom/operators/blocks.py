@@ -12,7 +12,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAKS, NOT_BLANK, let, snippet_id, split_lines
+from ..functions.text import LINE_BREAKS, has_text, let, snippet_id, split_lines
 from ..schema import ID_LENGTH, MAX_BLOCK_LINES, MIN_BLOCK_LINES
 
 
@@ -23,7 +23,7 @@ def _span(first: Column, last: Column) -> Column:
 def block_islands(lines: Column) -> Column:
     """Maximal runs of non-blank lines as array<struct<first,last>> (0-based, inclusive)."""
     filled = F.array_compact(
-        F.transform(lines, lambda s, i: F.when(s.rlike(NOT_BLANK), i))
+        F.transform(lines, lambda s, i: F.when(has_text(s), i))
     )
 
     def runs(at: Column) -> Column:

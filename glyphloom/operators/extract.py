@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import LINE_BREAKS, NEWLINES, NOT_BLANK, snippet_id
+from ..functions.text import LINE_BREAKS, NEWLINES, has_text, snippet_id
 from ..schema import ID_LENGTH, MAX_BLOCK_LINES, MIN_BLOCK_LINES
 from .blocks import blocks_of_column
 from .declarations import parse_declarations
@@ -117,7 +117,7 @@ def extract_snippets(
         F.concat(_as_snippets(F.col("parsed.declarations")), _as_snippets(rest, block)),
     ).otherwise(_as_snippets(whole, block))
     rows = _explode(_parsed(files, carry), snippets, id_length, carry)
-    return rows if keep_blank else rows.where(F.col("content").rlike(NOT_BLANK))
+    return rows if keep_blank else rows.where(has_text(F.col("content")))
 
 
 def order_in_file(snippets: DataFrame) -> DataFrame:

@@ -296,6 +296,13 @@ def test_dispatch(texts):
     assert [r[:2] for r in rows_of(leftovers(files))] == [("a.py", "block"), ("c.js", "block"), ("f.dart", "block")]
 
 
+@pytest.mark.parametrize("text", ["", "\n", "a", "ab\n\n c", "\nx\n", "a\r\nb\rc\n", "\x85\x0ca\u2028b\n\x1c"])
+def test_lines_and_blanking_equal_the_regexes(text):
+    assert D._lines(text) == D._NEWLINE.split(text)
+    assert D._line_ends(text) == [m.end() for m in D._NEWLINE.finditer(text)]
+    assert D._blanked(text) == D._COVERED.sub(D._spaces, text)
+
+
 def test_rows_leave_the_worker_in_pieces():
     """A batch of any size: what its texts become is held for a bounded number of characters."""
     body = "def f():\n    return 1\n" + "# x\n" * (D.PIECE_CHARS // 40)

@@ -54,6 +54,18 @@ def test_plain_newlines_only(spark):
     assert got == [["a", "b", "c\x0cd"], [""]]
 
 
+def test_whole_texts_meet_no_regex_but_for_odd_breaks(spark):
+    """A regex over every character took a fifth of a build."""
+    for breaks in (text.LINE_BREAKS, text.NEWLINES):
+        frame = spark.range(1).select(text.split_lines(F.col("id").cast("string"), breaks).alias("r"))
+        assert "rlike" not in frame._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_has_text(spark):
+    values = ["", " ", "   \t ", "   x", "\t y ", "\xa0 ", "  \u3000", "  \x1f ", "é", None]
+    assert column(spark, values, text.has_text) == [None if v is None else bool(v.strip()) for v in values]
+
+
 def test_ids(spark):
     args = F.lit("a.py"), F.lit(2), F.lit(5)
     want = hashlib.sha256(b"a.py:2:5:body").hexdigest()
