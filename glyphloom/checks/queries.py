@@ -14,7 +14,7 @@ from ..operators import blocks, changes, embed, extract, filters, present, searc
 from ..plans import find as finding
 from ..plans.build import IndexChange, build_index
 from ..plans.update import update_index
-from ..sources.index import SnippetIndex, open_index, read_version, write_index
+from ..sources.index import COMPRESSION, SnippetIndex, open_index, read_version, write_index
 from ..sources.scratch import scratch_folder
 from ..sources.tables import decode_files, files_from_table, hash_files
 from ..sources.tree import mounted_path, scan_tree
@@ -475,11 +475,12 @@ def stream_update_rows(spark, folder):
     old, new = C.snapshots(spark, folder)
     home = scratch_folder(spark)
     build_index(spark, f"{home}/index", old, _embedder())
-    gone = changes.removed_files(old, new).join(old, "file_path").withColumn("mtime", F.col("mtime") + 9)
-    feed = new.withColumn("deleted", F.lit(False)).unionByName(gone.withColumn("deleted", F.lit(True)))
-    stale = old.withColumns({"deleted": F.lit(False), "mtime": F.col("mtime") - 1})
-    stale = stale.join(new.select("file_path"), "file_path", "left_semi")
-    feed.unionByName(stale).write.parquet(f"{home}/feed")
+    feed = new.withColumn("deleted", F.lit(False))
+    # a deletion of each file that is gone, and a late row of each that is still there
+    there = changes.file_paths(new).withColumn("there", F.lit(True))
+    rest = old.where(F.col("file_path").isNotNull()).join(there, "file_path", "left")
+    rest = rest.withColumns({"deleted": F.col("there").isNull(), "mtime": F.col("mtime") + F.when(F.col("there"), -1).otherwise(9)})
+    feed.unionByName(rest.drop("there")).write.option("compression", COMPRESSION).parquet(f"{home}/feed")
     stream = spark.readStream.schema(feed.schema).parquet(f"{home}/feed")
     stream_update(stream, f"{home}/index", f"{home}/stream").awaitTermination()
     return _rows(open_index(spark, f"{home}/index"))

@@ -31,7 +31,7 @@ from ..operators.changes import (
 from ..operators.embed import Embedder, embedder_named
 from ..schema import CHANGED, FILE_LOG, NEW, REMOVED, SKIPPED
 from ..sources import folders
-from ..sources.index import SnippetIndex, compact_index, open_index
+from ..sources.index import COMPRESSION, SnippetIndex, compact_index, open_index
 from ..sources.tables import decode_files, hash_files
 from .build import IndexChange, IndexOptions, Reader
 
@@ -125,7 +125,7 @@ def apply_changes(
     usable = options.takes_path(F.col("file_path")) & ~deleted
     rows = changes.withColumns({"deleted": deleted, "content": F.when(usable, F.col("content"))})
     rows = rows.withColumn("usable", usable).withColumn("turn", _turn())
-    newest_per_key(rows, "file_path", "turn").drop("turn").write.parquet(folder)
+    newest_per_key(rows, "file_path", "turn").drop("turn").write.option("compression", COMPRESSION).parquet(folder)
     newest = spark.read.parquet(folder)
     size = newest.agg(join_bytes(F.col("file_path"))).first()[0]
     touched, buckets = broadcast_within(newest.select("file_path"), size), index.buckets_of(newest)
@@ -193,7 +193,7 @@ def _apply(
         contents = kept.join(wanted, "file_path", "left_semi")
     texts = hash_files(decode_files(contents)).select(*_TEXTS.names)
     # few rows out of many input partitions: even them out before they become files
-    texts.hint("rebalance").write.parquet(f"{staging}/texts")
+    texts.hint("rebalance").write.option("compression", COMPRESSION).parquet(f"{staging}/texts")
     texts = spark.read.schema(_TEXTS).parquet(f"{staging}/texts")
 
     log = staged.join(texts.select("file_path", "content_hash"), "file_path", "left").withColumn("status", file_status())

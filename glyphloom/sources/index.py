@@ -44,6 +44,8 @@ _BUCKET = T.StructField("bucket", T.IntegerType())
 BUCKET_FILES = 100_000
 #: Bytes that one bitmap takes as a join side.
 BITMAP_BYTES = CHUNK // 8 + 256
+#: Codec of tables that hold texts: a quarter smaller than Spark's default, for about the same time.
+COMPRESSION = "zstd"
 #: A written file without any snippet has a row without an id; its facts stand there, else with the first snippet.
 FILE_FACTS = ("mtime", "content_hash")
 
@@ -217,7 +219,8 @@ class SnippetIndex:
         (
             snippets.select(*STORED_SNIPPETS.names, *facts)
             .observe(seen, F.min(width).alias("low"), F.max(width).alias("high"), F.count_if(starts).alias("files"))
-            .write.option("parquet.bloom.filter.enabled#id", "true")
+            .write.option("compression", COMPRESSION)
+            .option("parquet.bloom.filter.enabled#id", "true")
             .option("parquet.bloom.filter.expected.ndv#id", "100000")
             .parquet(f"{self.path}/snippets/generation={generation}")
         )

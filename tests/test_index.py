@@ -271,6 +271,17 @@ def scanned(frame):
     return tuple(leaf.metrics().apply(m).value() for m in ("numFiles", "filesSize"))
 
 
+def test_texts_are_stored_small(spark, built):
+    """What holds texts is written in the denser codec, which counts most for an update's working tables."""
+    import pyarrow.parquet as pq
+
+    parts = [os.path.join(d, f) for d, _, fs in os.walk(f"{built.path}/snippets") for f in fs if f.endswith(".parquet")]
+    assert parts
+    for part in parts:
+        groups = pq.ParquetFile(part).metadata
+        assert {groups.row_group(0).column(i).compression for i in range(groups.num_columns)} == {"ZSTD"}
+
+
 def test_an_update_opens_only_data_files_that_changed(spark, tmp_path, monkeypatch):
     """Scattered paths and mtimes: neither tells the data files apart, their names do."""
     rows = [(f"f{i}.py", f"def f{i}(): pass\n".encode(), float(i * 7919 % 1000)) for i in range(400)]
