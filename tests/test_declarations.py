@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 import time
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pytest
@@ -330,6 +331,26 @@ def test_pieces_keep_their_rows(spark, monkeypatch):
     assert rest == {f"d{i}": f"x = {i}\ny = 1\nz = 2" for i in range(500) if i % 7 != 3}
 
 
+def test_texts_without_a_brace_stay_out_of_python(texts, monkeypatch):
+    """In the brace languages they declare nothing and are left over whole."""
+
+    def seen(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for _, contents in batches:
+            yield pa.array([t.is_valid and {"declarations": [], "leftover": "seen"} or None for t in contents], D._PARSED)
+
+    rows = [("a", "javascript", "eins\n\nzwei"), ("b", "dart", ""), ("c", "typescript", "f() {}"), ("d", "python", "x"),
+            ("e", "go", "x"), ("f", "javascript", None), ("g", None, "x")]
+    files = texts(*rows)
+    parsed = lambda: {
+        r[0]: r[1] and (len(r[1]["declarations"]), r[1]["leftover"])
+        for r in files.select("file_path", D.parse_declarations(F.col("language"), F.col("content"))).collect()
+    }
+    real = {"a": (0, rows[0][2]), "b": (0, ""), "c": (0, "f() {}"), "d": (0, "x"), "e": None, "f": None, "g": None}
+    assert parsed() == real
+    monkeypatch.setattr(D, "_parsed_pieces", seen)
+    assert parsed() == real | {"c": (0, "seen"), "d": (0, "seen")}
+
+
 def test_class_comes_before_its_first_line_method(texts):
     files = texts(("a.js", "javascript", "class A { f() {\n} }\nclass B {\n  g() {} }\n"))
     assert [r[2] for r in rows_of(extract_snippets(files))] == ["A", "B", "B.g"]
