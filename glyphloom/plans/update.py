@@ -130,8 +130,9 @@ def apply_changes(
     size = newest.agg(join_bytes(F.col("file_path"))).first()[0]
     touched, buckets = broadcast_within(newest.select("file_path"), size), index.buckets_of(newest)
     only = lambda known: known.join(touched, "file_path", "left_semi")
+    # at most one row for each path of the batch: with it broadcast, the contents are not shuffled once more
     before = only(index.removals(buckets)).select("file_path", F.col("mtime").alias("removed_mtime"))
-    newest = newest.join(before, "file_path", "left").where(
+    newest = newest.join(broadcast_within(before, size), "file_path", "left").where(
         F.coalesce(F.col("mtime") > F.col("removed_mtime"), F.lit(True))
     )
     kept = options.keep(newest.where("usable"))

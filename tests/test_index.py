@@ -484,6 +484,25 @@ def test_a_late_row_does_not_bring_a_deleted_file_back(spark, built):
     assert "sorter" in names(changed(spark, built.path, ("sort.py", b"def sorter(): pass\n", 1.5, False)))
 
 
+def test_contents_of_a_batch_are_shuffled_once(spark, built, monkeypatch):
+    """The join with the deletions on record shuffled them again; its side is no larger than the batch's paths."""
+    changed(spark, built.path, ("net.go", None, 5.0, True))
+    plans, apply = [], update._apply
+
+    def noted(index, differs, kept, *rest):
+        plans.append(kept._jdf.queryExecution().executedPlan().toString())
+        return apply(index, differs, kept, *rest)
+
+    monkeypatch.setattr(update, "_apply", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        after = changed(spark, built.path, ("net.go", b"late\n", 4.0, False), ("sort.py", b"def new(): pass\n", 2.0, False))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert names(after) == ["Database", "Database.query", "new"]
+    assert "SortMergeJoin" not in plans[0] and "Exchange hashpartitioning" not in plans[0]
+
+
 def test_files_without_mtime_are_updated(spark, files, built):
     after = {"sort.py": ("def one(): pass\n", None), "new.py": ("def two(): pass\n", None)}
     assert names(update_index(spark, built.path, files(after)).index) == ["one", "two"]
